@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from . import lookalikes as la
 from . import near_duplicates as nd
 
 
@@ -18,3 +19,13 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """Class of each text of my_docs at the operator's own parameters (five words, 0.8)."""
     pairs, members = nd.similar_pairs(table(spark, d, "my_docs"))
     return nd.groups(pairs, members).select(F.col("id").alias("row_id"), "group_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    forms = la.canonical(table(spark, d, "documents"), keep_text=False)
+    return la.look_alike_pairs(forms).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical form of every text of documents."""
+    return la.canonical(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), F.col("text").alias("canonical"), (F.col("raw") != F.col("form")).alias("changed"))
