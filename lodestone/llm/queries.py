@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from . import lookalikes as la
 from . import near_duplicates as nd
+from . import splitting as sp
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,3 +30,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     """The canonical form of every text of documents."""
     return la.canonical(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), F.col("text").alias("canonical"), (F.col("raw") != F.col("form")).alias("changed"))
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of all my_docs rows over 800 characters."""
+    return sp.split_oversized(table(spark, d, "my_docs")).withColumnRenamed("id", "row_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    first = sp.split_oversized(table(spark, d, "my_docs")).filter("chunk_index = 0")
+    return first.select(F.col("id").alias("row_id"), F.when(F.col("stretch") > sp.LIMIT, "hard").otherwise("soft").alias("kind"))
