@@ -201,7 +201,7 @@ def _scan(df: DataFrame, keep_text: bool) -> DataFrame:
                     words.update(found)
                     hidden = [w for w in set(found) if _kind(w) == DISGUISED]
                 if hidden:
-                    out.extend((1, w, None, None, i, None, None, None) for w in hidden)
+                    out.extend((1, w, _shape_key(w), None, i, None, None, None) for w in hidden)
                     out.append((3, None, None, None, i, raw, None, t))
                 else:
                     form = rewrite(t)
@@ -219,8 +219,7 @@ def _spellings(scan: DataFrame, hidden: DataFrame, scratch: Scratch) -> DataFram
     """(word, spelling): disguised words that reach a vocabulary word."""
     spark = scan.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shape = F.udf(_shape_key, "string")
-    asked = scratch.save(hidden.select("word").distinct().select("word", shape("word").alias("shape")), "disguised")
+    asked = scratch.save(hidden.select("word", "shape").distinct(), "disguised")
     vocab = scan.filter("kind = 0").select("word", "shape", "n").join(asked.select("shape").distinct(), "shape", "left_semi").groupBy("word", "shape").agg(F.sum("n").alias("n"))
     both = vocab.select("word", "shape", "n").unionByName(asked.select("word", "shape", F.lit(0).cast("long").alias("n")))
 
@@ -245,7 +244,7 @@ def canonical(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     # rows of one id are kept apart by a row number that isn't stored anywhere else
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scan = scratch.save(_scan(src, keep_text), "scan")
-    hidden = scan.filter("kind = 1").select("id", "word")
+    hidden = scan.filter("kind = 1").select("id", "word", "shape")
     spelled = scratch.save(_spellings(scan, hidden, scratch), "spellings")
     maps = hidden.join(spelled, "word").groupBy("id").agg(F.collect_set(F.struct("word", "spelling")).alias("m"))
     waiting = scan.filter("kind = 3").select("id", "raw", "text").join(maps, "id", "left")

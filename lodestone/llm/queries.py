@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import Scratch, table
+from . import history as hi
 from . import lookalikes as la
 from . import near_duplicates as nd
 from . import splitting as sp
@@ -40,3 +41,13 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     first = sp.split_oversized(table(spark, d, "my_docs")).filter("chunk_index = 0")
     return first.select(F.col("id").alias("row_id"), F.when(F.col("stretch") > sp.LIMIT, "hard").otherwise("soft").alias("kind"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    store, batches = table(spark, d, "my_docs"), table(spark, d, "chunk_batches")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = hi.HistoryIndex(spark, Scratch(spark, "index").root, nd.Likeness(width=4, threshold=0.6), buckets=buckets)
+    index.build(store)
+    at = hi.instant(F.col("ingested_at"))
+    ordered = batches.withColumns({"missing": at.isNull(), "at": F.coalesce(at, F.lit(0).cast("timestamp"))})
+    return index.screen(ordered, store, ["batch_no", "missing", "at", "row_id"]).filter("not accepted").select(F.col("id").alias("row_id"))
