@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,26 @@ def build_session(master: str = "local[*]", app: str = "lodestone", **conf: str)
     return b.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once a context, so that Python workers can import it from anywhere."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="lodestone-ship-")) / f"{package.name}.zip"
+    atexit.register(shutil.rmtree, at.parent, ignore_errors=True)
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(at))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -63,6 +84,7 @@ class Scratch:
     """Tables written to the shared folder: they cut lineage and survive the loss of executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
