@@ -1,7 +1,7 @@
 """Problem 2: new batches against all history.
 
 Method. Minwise hashing: a record's signature is the lowest value of its shingles under each of bands * rows functions; the keys of
-its bands, each with a signature of 64 one-bit minwise values, lie in a table that is bucketed by the key's hash. A delivery's keys
+its bands, each with a signature of 128 one-bit minwise values, lie in a table that is bucketed by the key's hash. A delivery's keys
 probe the buckets they hash to; one-bit signatures filter the collisions, the texts' exact Jaccard value decides, and the accepted
 records' keys are appended.
 
@@ -30,30 +30,32 @@ class Bands:
 
     bands: int = 32
     rows: int = 3
-    #: Of 64 one-bit values a pair of likeness s agrees in 32 + 32 s on average; the filter lies 4.4 standard deviations below.
-    least_bits: int = 37
+    #: Of 128 one-bit values a pair of likeness s agrees in 64 + 64 s on average; for 0.6 the filter lies 4.4 standard deviations below.
+    least_bits: int = 82
 
 
 def minwise(b: Block, p: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (texts x bands) and one-bit signatures of the texts with at least one shingle."""
+    """Band keys (texts x bands) and one-bit signatures (texts x 2) of the texts with at least one shingle."""
     rng = np.random.default_rng(20_11)
-    odd = rng.integers(0, 1 << 32, p.bands * p.rows, dtype=np.uint32) | np.uint32(1)
-    flip = rng.integers(0, 1 << 32, p.bands * p.rows, dtype=np.uint32)
+    many = max(128, p.bands * p.rows)
+    odd = rng.integers(0, 1 << 32, many, dtype=np.uint32) | np.uint32(1)
+    flip = rng.integers(0, 1 << 32, many, dtype=np.uint32)
     v = mix(b.values.astype(np.uint64)).astype(np.uint32)
     starts = b.offsets[:-1][b.sizes > 0]
     keys = np.zeros((len(starts), p.bands), np.uint64)
-    bits = np.zeros(len(starts), np.uint64)
-    for i in range(p.bands * p.rows):
+    bits = np.zeros((len(starts), 2), np.uint64)
+    for i in range(many):
         low = np.minimum.reduceat((v ^ flip[i]) * odd[i], starts).astype(np.uint64)
         band = i // p.rows
-        keys[:, band] = mix(keys[:, band] * np.uint64(31) + low + np.uint64(band))
-        if i < 64:
-            bits |= ((low >> np.uint64(13)) & np.uint64(1)) << np.uint64(i)
+        if band < p.bands:
+            keys[:, band] = mix(keys[:, band] * np.uint64(31) + low + np.uint64(band))
+        if i < 128:
+            bits[:, i // 64] |= ((low >> np.uint64(13)) & np.uint64(1)) << np.uint64(i % 64)
     return keys.astype(np.int64), bits.astype(np.int64)
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, p: Bands) -> DataFrame:
-    """(id, fp, n, bits, keys) of each record with at least one shingle."""
+    """(id, fp, n, bits, more, keys) of each record with at least one shingle."""
 
     def run(batches):
         for batch in batches:
@@ -65,12 +67,12 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, p: Bands)
                 keys, bits = minwise(b, p)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), p.bands).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").filter(pa.array(full)), pa.array(b.fingerprints()[full]), pa.array(b.sizes[full].astype(np.int32)), pa.array(bits), lists],
-                    names=["id", "fp", "n", "bits", "keys"],
+                    [part.column("id").filter(pa.array(full)), pa.array(b.fingerprints()[full]), pa.array(b.sizes[full].astype(np.int32)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), lists],
+                    names=["id", "fp", "n", "bits", "more", "keys"],
                 )
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    return src.mapInArrow(run, "id long, fp long, n int, bits long, keys array<long>")
+    return src.mapInArrow(run, "id long, fp long, n int, bits long, more long, keys array<long>")
 
 
 def instant(ingested_at) -> F.Column:
@@ -89,7 +91,7 @@ class HistoryIndex:
         self.buckets = buckets
         if not spark.catalog.tableExists(self.name):
             spark.sql(
-                f"CREATE TABLE {self.name} (key BIGINT, id BIGINT, n INT, bits BIGINT) USING parquet "
+                f"CREATE TABLE {self.name} (key BIGINT, id BIGINT, n INT, bits BIGINT, more BIGINT) USING parquet "
                 f"CLUSTERED BY (key) INTO {buckets} BUCKETS LOCATION '{self.path}/keys'"
             )
 
@@ -97,7 +99,7 @@ class HistoryIndex:
         # the lowest id stands for all records with its set of shingles
         copies = sigs.groupBy("fp").agg(F.min("id").alias("id"))
         reps = sigs.join(copies.select("id"), "id", "left_semi")
-        return reps.select(F.explode("keys").alias("key"), "id", "n", "bits")
+        return reps.select(F.explode("keys").alias("key"), "id", "n", "bits", "more")
 
     def append(self, sigs: DataFrame, doc_ids: DataFrame) -> None:
         """Adds records by their signatures, and the spelled-down doc_ids (column doc_key)."""
@@ -110,8 +112,8 @@ class HistoryIndex:
 
     def _probe(self, mine: DataFrame, theirs: DataFrame, extra: str) -> DataFrame:
         t = self.likeness.threshold
-        a, b = (x.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "bits"))) for x, s in ((mine, "a"), (theirs, "b")))
-        near = f"a_n >= {t} * b_n and b_n >= {t} * a_n and bit_count(a_bits ^ b_bits) <= {64 - self.bands.least_bits}"
+        a, b = (x.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "bits", "more"))) for x, s in ((mine, "a"), (theirs, "b")))
+        near = f"a_n >= {t} * b_n and b_n >= {t} * a_n and bit_count(a_bits ^ b_bits) + bit_count(a_more ^ b_more) <= {128 - self.bands.least_bits}"
         return a.join(b, "key").filter(f"{near} and {extra}").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
     def screen(self, delivery: DataFrame, store: DataFrame, order: list[str], id_col: str = "row_id", text_col: str = "text", doc_col: str = "doc_id") -> DataFrame:

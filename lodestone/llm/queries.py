@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, table
 from . import history as hi
+from . import languages as lg
 from . import lookalikes as la
 from . import near_duplicates as nd
 from . import splitting as sp
+from . import vectors as ve
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,3 +53,25 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     at = hi.instant(F.col("ingested_at"))
     ordered = batches.withColumns({"missing": at.isNull(), "at": F.coalesce(at, F.lit(0).cast("timestamp"))})
     return index.screen(ordered, store, ["batch_no", "missing", "at", "row_id"]).filter("not accepted").select(F.col("id").alias("row_id"))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar rows (of cosine 0.9 or more) of every usable row of my_docs and image_chunks."""
+    return ve.neighbours([("chunk", table(spark, d, "my_docs"), "row_id", "vector"), ("image", table(spark, d, "image_chunks"), "image_id", "vector")])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = p3_neighbours(spark, d)
+    return near.select("tab", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every single-language stretch of my_docs."""
+    segs = lg.segments(table(spark, d, "my_docs"))
+    return segs.select(F.col("id").alias("row_id"), "seg_no", "lang", F.round("confidence", 4).alias("confidence"), "words")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    segs = lg.segments(table(spark, d, "my_docs"))
+    case = segs.filter("declared is null or n_segs > 1 or lang <> declared")
+    return case.select(F.col("id").alias("row_id"), "seg_no", "lang")
