@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import bounded_sample
+
 LANGS = ("en", "zh", "de", "fr", "es", "pt", "ru")
 L = len(LANGS)
 HASHED = 1 << 16
@@ -293,7 +295,7 @@ class Tagger:
 def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, p: Fit) -> list[tuple[str, str]]:
     """At most p.rows labelled rows, in the order of a hash of the id."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), declared(F.col(lang_col)).alias("lang")).filter("lang is not null and length(trim(text)) > 0")
-    return [(r.text, r.lang) for r in rows.orderBy(F.xxhash64("id"), "id", "text").limit(p.rows).select("text", "lang").collect()]
+    return [(r.text, r.lang) for r in bounded_sample(rows, "id", p.rows).select("text", "lang").collect()]
 
 
 def segments(df: DataFrame, id_col: str = "row_id", text_col: str = "text", lang_col: str = "lang", p: Fit = Fit(), model: Model | None = None) -> DataFrame:

@@ -9,7 +9,10 @@ from ..session import Scratch, table
 from . import history as hi
 from . import languages as lg
 from . import lookalikes as la
+from . import mixing as mx
 from . import near_duplicates as nd
+from . import packing as pk
+from . import scans as sc
 from . import splitting as sp
 from . import vectors as ve
 
@@ -75,3 +78,39 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     segs = lg.segments(table(spark, d, "my_docs"))
     case = segs.filter("declared is null or n_segs > 1 or lang <> declared")
     return case.select(F.col("id").alias("row_id"), "seg_no", "lang")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return sc.repair(table(spark, d, "my_docs"))[0]
+
+
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired texts of the my_docs rows that hold scanned pages."""
+    return sc.repair(table(spark, d, "my_docs"))[1]
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Where each text of documents goes, in containers of 2,048 tokens."""
+    return pk.containers(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return pk.fill_report(pk.containers(table(spark, d, "documents")))
+
+
+def _mix(spark: SparkSession, d: str, total: int | str | None = None) -> tuple[DataFrame, DataFrame]:
+    return mx.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), total_tokens=total)
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents drawn, with a row for each copy."""
+    return _mix(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
+def p8_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """The shares if as many tokens are asked for as the sources have: sources at their repeats stay short."""
+    return _mix(spark, d, "available")[1]

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, broadcast_if_small
+from .sampling import bounded_sample
 
 
 @dataclass(frozen=True)
@@ -92,7 +93,7 @@ def _pivots(front: DataFrame, p: Search) -> dict[str, np.ndarray]:
     out = {}
     for tab, n in sorted((r.tab, r.n) for r in front.groupBy("tab").agg(F.count("*").alias("n")).collect()):
         many = max(1, min(p.pivots, n // p.cell))
-        rows = front.filter(F.col("tab") == tab).orderBy(F.xxhash64("id"), "id").limit(many).select("code").collect()
+        rows = bounded_sample(front.filter(F.col("tab") == tab), "id", many, n).select("code").collect()
         x = np.unique(np.frombuffer(b"".join(r.code for r in rows), np.int8).reshape(-1, p.dims), axis=0).astype(np.float32)
         out[tab] = x / np.linalg.norm(x, axis=1, keepdims=True)
     return out
