@@ -1,3 +1,15 @@
 """SQL twins of the problems' queries, where SQL can express them on whole tables in reasonable time."""
 
-SQL: dict[str, str] = {}
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+SQL: dict[str, str] = {
+    # pairs that share a sequence of four tokens, counted
+    "p1_found": r"""WITH t AS (SELECT row_id, regexp_extract_all(regexp_replace(lower(text), '([\x{4E00}-\x{9FFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS t FROM my_docs WHERE text IS NOT NULL),
+  g AS (SELECT DISTINCT row_id, unnest(list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' '))) AS s FROM t WHERE len(t) >= 4),
+  n AS (SELECT row_id, count(*) AS n FROM g GROUP BY row_id),
+  c AS (SELECT a.row_id AS a, b.row_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.row_id < b.row_id GROUP BY a.row_id, b.row_id)
+  SELECT a AS row_id_a, b AS row_id_b FROM c JOIN n x ON x.row_id = a JOIN n y ON y.row_id = b WHERE c / (x.n + y.n - c) >= 0.6 - 1e-12""",
+    # boundaries become a control character that the texts don't hold
+    "p6_found": rf"""WITH x AS (SELECT row_id, string_split_regex(regexp_replace(regexp_replace(text, '([。！？；])', '\1' || chr(1), 'g'), '([.!?;])({_BLANK})', '\1' || chr(1) || '\2', 'g'), '[\n\r\x01]') AS p FROM my_docs WHERE length(text) > 800)
+  SELECT row_id, CASE WHEN list_max(list_transform(p, lambda s: length(regexp_replace(s, '^{_BLANK}+|{_BLANK}+$', '', 'g')))) > 800 THEN 'hard' ELSE 'soft' END AS kind FROM x""",
+}
