@@ -133,9 +133,13 @@ def needs_ocr(c: Column, min_chars: int = 500) -> Column:
     lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|[\n\r\f\x0b\x{85}\x{2028}\x{2029}]"), compact), lambda x: F.length(x) >= 3)
     n = F.size(lines)
     total = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
-    distinct = F.array_distinct(lines)
-    modal = F.coalesce(F.array_max(F.transform(distinct, lambda d: F.size(F.filter(lines, lambda x: x == d)))), F.lit(0))
-    few = (F.size(distinct) <= F.greatest(F.lit(3), F.floor(n / 8))) | (modal / n >= 0.85)
+
+    def run(a, x):  # over sorted lines: runs of equal ones, their number and the longest
+        now = F.when(x == a.last, a.run + 1).otherwise(1)
+        return F.struct(x.alias("last"), now.alias("run"), (a.kinds + F.when(now == 1, 1).otherwise(0)).alias("kinds"), F.greatest(a.modal, now).alias("modal"))
+
+    runs = F.aggregate(F.array_sort(lines), F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("kinds"), F.lit(0).alias("modal")), run)
+    few = (runs.kinds <= F.greatest(F.lit(3), F.floor(n / 8))) | (runs.modal / n >= 0.85)
     short = ~((n == 1) & (F.length(F.element_at(F.concat(lines, F.array(F.lit(""))), 1)) >= 30))
     return F.when(total < min_chars, short).otherwise((n >= 8) & few)
 

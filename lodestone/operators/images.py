@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,15 @@ def batch_queries(line: str) -> list[str]:
 
 def best_labels(images: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, label, similarity): the most similar of a bounded table of labels (label, label_vector) for each image; ties go to the lower label."""
-    x = images.select("id", vx.unit(F.col("vector")).alias("v"))
-    y = labels.select("label", vx.unit(F.col("label_vector")).alias("w"))
-    pairs = x.crossJoin(F.broadcast(y)).select("id", "label", vx.dot(F.col("v"), F.col("w")).alias("similarity"))
-    best = F.max_by(F.struct("label", "similarity"), F.struct("similarity", -F.col("label")))
-    return pairs.groupBy("id").agg(best.alias("b")).select("id", "b.label", "b.similarity")
+    names, q = rk.matrix(labels, "label", "label_vector")
+    shared = images.sparkSession.sparkContext.broadcast((np.array(names, np.int64), q))
+
+    def run(batches):
+        ids, m = shared.value
+        for b in batches:
+            if b.num_rows and len(ids):
+                sim = rk.vector_block(b.column("vector")) @ m.T
+                best = np.round(sim, 9).argmax(1)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids[best]), pa.array(sim[np.arange(len(sim)), best])], names=["id", "label", "similarity"])
+
+    return images.select(F.col("id").cast("long").alias("id"), vx.doubles(F.col("vector")).alias("vector")).mapInArrow(run, "id long, label long, similarity double")

@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,10 +142,43 @@ def rerank(candidates: DataFrame, query: str, c: EngineConfig = EngineConfig(),
     return head.unionByName(candidates.filter(F.col("position") > c.rerank_top).withColumn("score", F.lit(0.0)))
 
 
+def matrix(rows: DataFrame, id_col: str, vector_col: str, most: int = 20_000) -> tuple[list[int], np.ndarray]:
+    """Ids and unit vectors of a bounded table; more than ``most`` rows are an error."""
+    got = rows.select(F.col(id_col).alias("i"), vx.doubles(F.col(vector_col)).alias("v")).limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} query vectors: ask in parts")
+    got.sort(key=lambda r: r.i)
+    x = np.array([r.v for r in got], np.float64)
+    return [r.i for r in got], x / np.linalg.norm(x, axis=1, keepdims=True) if len(got) else x
+
+
+def vector_block(column: pa.Array) -> np.ndarray:
+    """Rows of an array column of one length as unit vectors."""
+    flat = np.asarray(pc.list_flatten(column).to_numpy(zero_copy_only=False), np.float64)
+    x = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def batch_top(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, similarity, rank): the k most similar rows for each query of a bounded table (query_id, query_vector)."""
-    q = queries.select("query_id", vx.unit(F.col("query_vector")).alias("q"))
-    x = corpus.select("id", vx.unit(F.col("vector")).alias("v"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    pairs = x.crossJoin(F.broadcast(q)).select("query_id", "id", vx.dot(F.col("v"), F.col("q")).alias("similarity"))
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    """(query_id, id, similarity, rank): the k most similar rows for each query of a bounded table (query_id, query_vector).
+
+    Each Arrow batch is one matrix product with all queries and gives its own k best; a window ranks these. Vectors must be usable
+    and of one length. Similarities are compared to nine places, ties go to the lower id.
+    """
+    names, q = matrix(queries, "query_id", "query_vector")
+    shared = corpus.sparkSession.sparkContext.broadcast((np.array(names, np.int64), q))
+
+    def run(batches):
+        ids_q, m = shared.value
+        for b in batches:
+            if not b.num_rows or not len(ids_q):
+                continue
+            ids = b.column("id").to_numpy(zero_copy_only=False)
+            for i, row in enumerate(m @ vector_block(b.column("vector")).T):
+                coarse = np.round(row, 9)
+                at = np.flatnonzero(coarse >= np.partition(coarse, -k)[-k]) if len(row) > k else np.arange(len(row))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids_q[i])), pa.array(ids[at]), pa.array(row[at])], names=["query_id", "id", "similarity"])
+
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "id")
+    found = corpus.select(F.col("id").cast("long").alias("id"), vx.doubles(F.col("vector")).alias("vector")).mapInArrow(run, "query_id long, id long, similarity double")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

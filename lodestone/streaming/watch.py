@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,24 +34,28 @@ def relevant(events: DataFrame, extensions: tuple[str, ...] = TEXT_EXTENSIONS) -
 def debounce(events: DataFrame, seconds: float = 5.0, key: str = "target", at: str = "happened_at", order: str = "event_no") -> DataFrame:
     """Events accepted by a leading-edge debounce: those more than ``seconds`` after the last accepted one of their key; moves always.
 
-    Moves leave the clock as it is. Events of a key are taken by time, then by number; without a time they are left out. The
-    recurrence runs over each key's sorted events in a grouped Arrow batch: a key's events are one file's changes.
+    Moves leave the clock as it is. Events of a key are taken by time, then by number; without a time they are left out. Each
+    partition is sorted and read once as a stream of Arrow batches that carries nothing but the last accepted time: a key with very
+    many events takes no more memory than another.
     """
-    fields = events.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, order])
-        t = pdf[at].astype("datetime64[us]").astype("int64").to_numpy()
-        moved = (pdf["kind"] == "moved").to_numpy()
-        keep, last = [], None
-        for x, m in zip(t, moved):
-            ok = bool(m) or last is None or x - last > seconds * 1e6
-            if ok and not m:
-                last = x
-            keep.append(ok)
-        return pdf[keep]
-
-    return events.filter(F.col(at).isNotNull()).groupBy(key).applyInPandas(run, fields)
+    wait = int(seconds * 1e6)
+
+    def run(batches):
+        name, last = None, None
+        for b in batches:
+            keep = []
+            for k, x, kind in zip(b.column("_key").to_pylist(), b.column("_at").to_pylist(), b.column("kind").to_pylist()):
+                if k != name:
+                    name, last = k, None
+                ok = kind == "moved" or last is None or x - last > wait
+                if ok and kind != "moved":
+                    last = x
+                keep.append(ok)
+            yield b.filter(pa.array(keep, pa.bool_())).select(names)
+
+    names = events.columns
+    rows = events.filter(F.col(at).isNotNull()).withColumns({"_key": F.col(key), "_at": F.unix_micros(F.col(at).cast("timestamp"))})
+    return rows.repartition("_key").sortWithinPartitions("_key", "_at", order).mapInArrow(run, events.schema)
 
 
 def debounce_stream(events: DataFrame, seconds: float = 5.0, key: str = "target", at: str = "happened_at") -> DataFrame:
