@@ -241,7 +241,6 @@ def canonical(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     Null and blank texts have no row. Ids may repeat, with one row each; other columns are ignored. An empty table gives no rows.
     """
     scratch = Scratch(df.sparkSession, "p9")
-    # rows of one id are kept apart by a row number that isn't stored anywhere else
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scan = scratch.save(_scan(src, keep_text), "scan")
     hidden = scan.filter("kind = 1").select("id", "word", "shape")
