@@ -26,10 +26,11 @@ L = len(LANGS)
 HASHED = 1 << 16
 FEATURES = 20
 
-#: Links and address-like words, words, sentence ends, and line breaks that end a sentence or heading.
+#: Page labels, links, codes, words, sentence ends, and line breaks that end a sentence or heading.
 TOKEN = re.compile(
-    r"(?:https?://|www\.)[^\s，。；！？）]+|[一-鿿㐀-䶿]+|[^\W\d_一-鿿㐀-䶿]+(?:['’][^\W\d_一-鿿]+)?"
-    r"|[。！？；]|[.!?;](?=\s|$)|\n(?=\s*[A-ZÀ-ÖØ-ÞА-ЯЁ#>|*\-\n])|(?<![一-鿿，、])\n(?=[一-鿿])"
+    r"^(?:Page|Seite|Página|Стр\.) *\d.*$|(?:https?://|www\.)[^\s，。；！？）]+|[A-Z]{1,4}-\d+|[一-鿿㐀-䶿]+|[^\W\d_一-鿿㐀-䶿]+(?:['’][^\W\d_一-鿿]+)?"
+    r"|[。！？；]|[.!?;](?=\s|\Z)|\n(?=\s*[A-ZÀ-ÖØ-ÞА-ЯЁ#>|*\-\n])|(?<![一-鿿，、])\n(?=[一-鿿])",
+    re.M,
 )
 _END = -1  # a token that ends a sentence
 _SKIP = -2
@@ -69,10 +70,13 @@ class Words(dict):
         super().__init__()
         self.lexicon, self.weights, self.most = lexicon, weights, most
         self.rows: list = []
+        self.single: list[bool] = []  # letters on their own, such as units, speak for no language
         self.add("一")
+        self.single[HAN] = False
 
     def add(self, word: str) -> int:
         f = features(word, self.lexicon)
+        self.single.append(len(word) == 1)
         self.rows.append(f + [0] * (FEATURES - len(f)) if self.weights is None else self.weights[f].sum(0))
         return len(self.rows) - 1
 
@@ -82,7 +86,7 @@ class Words(dict):
             return HAN
         if not c.isalpha():
             return _END
-        if "://" in token or token.startswith("www."):
+        if "://" in token or token.startswith("www.") or token[-1].isdigit():
             return _SKIP
         n = self[token] = self.add(token)
         return n
@@ -250,7 +254,7 @@ class Tagger:
         if len(self.scores) < len(self.words.rows):
             self.scores = np.concatenate([self.scores, np.array(self.words.rows[len(self.scores) :], np.float64).reshape(-1, L)])
             x = np.exp(self.scores - self.scores.max(1, keepdims=True))
-            self.sure = (x / x.sum(1, keepdims=True)).max(1)
+            self.sure = np.where(self.words.single, 0.0, (x / x.sum(1, keepdims=True)).max(1))
         out: list[list[tuple[str, float, int]]] = [[] for _ in texts]
         order = sorted((i for i in range(len(texts)) if len(seqs[i][0])), key=lambda i: len(seqs[i][0]))
         at = 0
@@ -275,12 +279,16 @@ class Tagger:
         total = np.zeros((n, L))
         for j in range(L):
             total[:, j] = np.bincount(place, post[:, j] * weight, n)
-        speaks = np.bincount(place, (sure > 0.9) * np.where(ids == HAN, 2, 1), n)
+        speaks = np.bincount(place, (sure > 0.75) * np.where(ids == HAN, 2, 1), n)
+        han = np.bincount(place, ids == HAN, n)
         words = np.bincount(place, minlength=n)
+        share = total.max(1) / np.maximum(total.sum(1), 1e-9)
+        # units, codes and page numbers are no sentence; a text that has nothing else is what its words say
+        keep = (speaks >= np.where(words > 3, 2, 1)) & ((words > 1) | (han > 0)) & ((words > 3) | (share >= 0.8) | (han > 0))
+        if not keep.any():
+            keep = words > 0
         out: list[list] = []
-        for s in range(n):
-            if not speaks[s] or (speaks[s] < 2 and words[s] > 2):
-                continue
+        for s in np.flatnonzero(keep):
             lang = int(total[s].argmax())
             share = float(total[s, lang])
             if out and out[-1][0] == lang:
