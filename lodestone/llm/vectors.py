@@ -78,7 +78,8 @@ def prepare(df: DataFrame, id_col: str, vector_col: str, tab: str, p: Search) ->
             u = _unit(x)
             scale = np.abs(u).max(1) / 127
             code = np.rint(u / scale[:, None]).astype(np.int8)
-            digest = [xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in x]
+            # to seven places: multiples of a vector are the same vector here
+            digest = [xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in np.rint(u * 1e7).astype(np.int32)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("id").take(pa.array(rows)), pa.array(digest, pa.int64()), _bytes(code), pa.array(scale.astype(np.float32))],
                 names=["id", "digest", "code", "scale"],
