@@ -280,3 +280,29 @@ def test_http(kb):
             urllib.request.urlopen(urllib.request.Request(at + path, data))
         assert e.value.code == code
     server.shutdown()
+
+
+def test_rebuild(spark, tmp_path, folder):
+    from lodestone.operators import rebuild as rb
+
+    store = st.Store(spark, f"file://{tmp_path}/rb", buckets=2)
+    at, bad = f"file://{tmp_path}/checkpoint", str(tmp_path / "bad")
+
+    def reader(source, data):
+        if source.endswith(".pdf") and not __import__("os").path.exists(bad):
+            raise OSError("no converter")
+        return ("converted text of the scan, long enough", True) if source.endswith(".pdf") else rd.extract(source, data)
+
+    roots = [str(folder / "docs"), str(folder / "papers")]
+    guess = rb.rebuild(store, roots, at, reader=reader, wait=0, dry_run=True).first()
+    assert guess.files == 5 and guess.short == 3 and store.read().count() == 0
+    first = {r.file_path.split("::")[1]: (r.status, r.chunks, r.attempt) for r in rb.rebuild(store, roots, at, reader=reader, wait=0).collect()}
+    assert first == {"flood.txt": ("done", 1, 1), "short.txt": ("empty", 0, 1), "bad.docx": ("empty", 0, 1), "scan.pdf": ("failed", 0, 3), "ifc.md": ("done", 2, 1)}
+    open(bad, "w").close()
+    second = rb.rebuild(store, roots, at, reader=reader, wait=0).collect()
+    assert [(r.file_path.split("::")[1], r.status, r.attempt) for r in second] == [("scan.pdf", "done", 4)] and store.read().count() == 4
+    assert rb.rebuild(store, roots, at, reader=reader, wait=0).count() == 0
+    text, names = rb.renumber_images("![a](images/x.png) ![b](images/y.jpg) ![a](images/x.png) ![c](images/gone.png)", {"images/x.png", "images/y.jpg"})
+    assert text == "![a](images/img-001.png) ![b](images/img-002.jpg) ![a](images/img-001.png) ![c](images/gone.png)" and len(names) == 2
+    cached = spark.createDataFrame([("p", 1, 2), ("q", 1, 2)], "path string, size long, mtime_ns long")
+    assert [r.path for r in rb.uncached(cached, rb.uncached(cached.filter("path = 'p'"), spark.createDataFrame([], "cache_key string"))).collect()] == ["q"]
