@@ -93,10 +93,15 @@ class Block:
     def lists(self) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), pa.array(self.values))
 
-    def lowest(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes into ``values`` of each text's k lowest hashes, and the offsets of these."""
-        rank = np.arange(len(self.values)) - self.offsets[:-1][self.row]
-        return np.flatnonzero(rank < k), np.concatenate([[0], np.cumsum(np.minimum(self.sizes, k))]).astype(np.int64)
+    def lowest(self, k: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes into ``values`` of each text's k lowest hashes (of those marked in ``among``), and the offsets of these."""
+        if among is None:
+            rank, sizes = np.arange(len(self.values)) - self.offsets[:-1][self.row], self.sizes
+            return np.flatnonzero(rank < k), np.concatenate([[0], np.cumsum(np.minimum(sizes, k))]).astype(np.int64)
+        rows = self.row[among]
+        sizes = np.bincount(rows, minlength=len(self.sizes))
+        rank = np.arange(len(rows)) - np.concatenate([[0], np.cumsum(sizes)])[rows]
+        return np.flatnonzero(among)[rank < k], np.concatenate([[0], np.cumsum(np.minimum(sizes, k))]).astype(np.int64)
 
 
 def blocks(batch: pa.RecordBatch, column: str = "text"):

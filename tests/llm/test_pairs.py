@@ -129,3 +129,17 @@ def test_instants(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(given)], "i int, s string")
     got = [r.x for r in df.select("i", F.unix_micros(hi.instant(F.col("s"))).alias("x")).orderBy("i").collect()]
     assert got == [1927670436000000] * 5 + [None] * 4
+
+
+@pytest.mark.parametrize("own", [400, 90, 40])
+def test_boilerplate_is_no_likeness(spark, own):
+    rng = random.Random(own)
+    common = " ".join(f"b{i}" for i in range(60))
+    texts = [f"{common} " + " ".join(f"u{i}x{j}" for j in range(own)) for i in range(200)]
+    texts += [t.replace("x7 ", "y7 ") for t in texts[:30]] + [" ".join(f"u{i}x{j}" for j in range(own)) for i in range(5)]
+    texts += [f"{common} " + " ".join(f"m{i}x{j}" for j in range(rng.randrange(4, 20))) for i in range(25)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    pairs, members = nd.similar_pairs(df, params=nd.Likeness(width=4, threshold=0.6, hottest=100))
+    got = {tuple(r) for r in nd.all_pairs(pairs, members).collect()}
+    want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if like(a, b, 4) >= 0.6}
+    assert len(want) > 60 and got == want
