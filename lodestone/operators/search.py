@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import text as tx
 from ..functions.vectors import Embedder
+from ..session import Scratch
 from . import ranking as rk
 
 
@@ -52,6 +53,7 @@ def search(
         vector = embedder.encode([query])[0]
     vector = None if vector is None else [float(x) for x in vector]
     none = F.lit(None).cast("double")
+    kept = ["id", "text", "source", "chunk_index", "category"]
     if mode == "vector":
         rows = rk.top_vectors(corpus, vector, limit, metric, where, prefilter).withColumns({"relevance_score": none, "bm25": none})
         order = ["distance", "id"]
@@ -59,12 +61,12 @@ def search(
         rows = rk.top_bm25(corpus, query, limit, c, where).withColumns({"relevance_score": none, "distance": none})
         order = [F.desc("bm25"), "id"]
     else:
-        near = rk.top_vectors(corpus, vector, limit, metric, where, prefilter=True).select("id", "distance")
-        hits = rk.top_bm25(corpus, query, limit, c, where).select("id", "bm25")
+        # two lists of at most ``limit`` rows are stored, so that the table is read for each once, whatever is done with them
+        scratch = Scratch(corpus.sparkSession, "search")
+        near = scratch.save(rk.top_vectors(corpus, vector, limit, metric, where, prefilter=True).select(*kept, "distance"), "near")
+        hits = scratch.save(rk.top_bm25(corpus, query, limit, c, where).select(*kept, "bm25"), "hits")
         lists = [rk.ranked(near, "distance", "id"), rk.ranked(hits, F.desc("bm25"), "id")]
-        # at most twice ``limit`` ids: a bound that doesn't grow with the table
-        ids = lists[0].select("id").unionByName(lists[1].select("id")).distinct()
-        texts = corpus.join(F.broadcast(ids), "id", "left_semi")
+        texts = near.select(kept).unionByName(hits.select(kept)).dropDuplicates(["id"])
         fused = rk.rrf(lists, c.rrf_k)
         trace["reranker"] = "rrf"
         if use_reranker:
@@ -72,17 +74,16 @@ def search(
             try:
                 scored = rk.rerank(candidates, query, c, scorer).select("id", "score")
                 if scorer is not None:  # a plug-in fails when it runs, so it runs here, on its bounded list
-                    got = [(r.id, r.score) for r in scored.collect()]
-                    scored = corpus.sparkSession.createDataFrame(got, scored.schema)
+                    scored = scratch.save(scored, "scores")
                 trace["reranker"] = "lexical" if scorer is None else getattr(scorer, "__name__", "scorer")
                 fused = scored
             except Exception as e:  # noqa: BLE001
                 trace["warning"] = f"reranker failed, ranks were fused: {type(e).__name__}"
-        rows = texts.join(F.broadcast(fused), "id").join(F.broadcast(near), "id", "left").join(F.broadcast(hits), "id", "left")
+        rows = texts.join(fused, "id").join(near.select("id", "distance"), "id", "left").join(hits.select("id", "bm25"), "id", "left")
         rows = rows.withColumnRenamed("score", "relevance_score").orderBy(F.desc("relevance_score"), "id").limit(limit)
         order = [F.desc("relevance_score"), "id"]
-    place = rk.ranked(rows, *order)
-    out = rows.join(F.broadcast(place), "id").select(
+    # a window over the few rows left
+    out = rows.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(
         "rank", "id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"),
         F.coalesce("category", F.lit("")).alias("category"), F.round("relevance_score", 4).alias("relevance_score"), F.round("distance", 4).alias("distance"), F.round("bm25", 4).alias("bm25"),
     )

@@ -11,11 +11,12 @@ from ..functions import chunking
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import images as im
+from ..operators import index as ix
 from ..operators import manage as mg
 from ..operators import ranking as rk
 from ..operators import search as se
 from ..operators import store as st
-from ..session import table
+from ..session import Scratch, table
 from ..streaming import watch as wa
 
 QUERY = "drainage tunnel section threshold"
@@ -104,6 +105,8 @@ def t7_fingerprint(spark, d):
     return table(spark, d, "my_docs").select("row_id", tx.fingerprint(F.col("source"), F.col("chunk_index"), F.col("text")).alias("fingerprint"))
 
 
+#: the first eight hex digits of the MD5 as a number
+_MD5_TOP = "list_sum(list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', md5(t)[i]) - 1) * CAST(16 ** (8 - i) AS BIGINT)))::BIGINT"
 _LIGATURES = "text"
 for _bad, _good in tx.LIGATURES.items():
     _LIGATURES = f"replace({_LIGATURES}, '{_bad}', '{_good}')"
@@ -149,6 +152,15 @@ def t19_basename(spark, d):
     return table(spark, d, "my_docs").filter("source is not null").select("row_id", tx.basename(F.col("source")).alias("name"))
 
 
+@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1)) AS t FROM documents), b AS (SELECT doc_id, md5_top(t) % 64 AS b, count(*) AS n FROM t GROUP BY 1, 2),
+  v AS (SELECT doc_id, count(*) AS buckets, round(max(n) / sqrt(sum(n * n)), 4) AS peak FROM b GROUP BY 1)
+  SELECT d.doc_id, coalesce(buckets, 1) AS buckets, coalesce(peak, 1.0) AS peak FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id""".replace("md5_top(t)", _MD5_TOP))
+def t13_embedding(spark, d):
+    """Vectors of documents by the default embedder: how many components aren't zero, and the largest."""
+    v = table(spark, d, "documents").select("doc_id", vx.doubles(vx.embed(F.col("text"), vx.HashingEmbedder(DIMS))).alias("v"))
+    return v.select("doc_id", F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("buckets"), F.round(F.array_max("v"), 4).alias("peak"))
+
+
 # ---- sources
 
 
@@ -297,12 +309,12 @@ _MERGED = f"{_LISTS}, f AS (SELECT id, min(b * 1000 + rank) AS o FROM (SELECT id
 
 @query(f"WITH {_MERGED} SELECT pos.id, position, CASE WHEN position <= 32 THEN round({_SCORE}, 4) ELSE 0.0 END AS score FROM pos JOIN my_docs m ON m.row_id = pos.id")
 def r5_rerank(spark, d):
-    c = corpus(spark, d)
-    near = rk.ranked(rk.top_vectors(c, _first_vector(c, "row_id"), 20), "distance", "id")
-    hits = rk.ranked(rk.top_bm25(c, QUERY, 20), F.desc("bm25"), "id")
-    # the list has at most 40 rows
-    candidates = c.join(F.broadcast(rk.merged(near, hits)), "id").select("id", "position", "text")
-    return rk.rerank(candidates, QUERY).select("id", "position", F.round("score", 4).alias("score"))
+    c, scratch = corpus(spark, d), Scratch(spark, "rerank")
+    near = scratch.save(rk.top_vectors(c, _first_vector(c, "row_id"), 20).select("id", "text", "distance"), "near")
+    hits = scratch.save(rk.top_bm25(c, QUERY, 20).select("id", "text", "bm25"), "hits")
+    order = rk.merged(rk.ranked(near, "distance", "id"), rk.ranked(hits, F.desc("bm25"), "id"))
+    texts = near.select("id", "text").unionByName(hits.select("id", "text")).dropDuplicates(["id"])
+    return rk.rerank(texts.join(order, "id"), QUERY).select("id", "position", F.round("score", 4).alias("score"))
 
 
 @query(f"WITH {_U}, {_Q} SELECT id, round({_COS}, 4) AS similarity, replace(left(coalesce(text, ''), 200), chr(10), ' ') || '...' AS snippet FROM u, q ORDER BY 1 - {_COS}, id LIMIT 6")
@@ -451,6 +463,35 @@ def w7_delete(spark, d):
     return corpus(spark, d).filter(~F.coalesce(st.source_match("MISC"), F.lit(False))).select("row_id")
 
 
+@query(f"WITH {_bm25_sql()} SELECT id, round(bm25, 6) AS bm25 FROM hits")
+def w11_postings(spark, d):
+    """BM25 from a stored postings index."""
+    index = ix.PostingsIndex(spark, Scratch(spark, "postings").root, 16)
+    index.append(corpus(spark, d).select("id", "text"))
+    return index.search(QUERY, 20).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query()
+def w10_cells(spark, d):
+    """The 20 nearest rows from a stored cell index, 16 cells probed."""
+    c = corpus(spark, d)
+    index = ix.CellIndex(spark, Scratch(spark, "cells").root, DIMS)
+    index.build(c.select("id", "vector"))
+    return index.search(_first_vector(c, "row_id"), 20).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""SELECT coalesce(category, '') AS category, count(*) AS n, count(DISTINCT source) AS sources FROM (
+  SELECT source, category FROM my_docs WHERE source IS NULL OR NOT contains(lower(source), 'misc') UNION ALL SELECT source, category FROM chunk_batches) GROUP BY 1""")
+def w7_store_cycle(spark, d):
+    """A store that takes my_docs, loses what matches a pattern and takes chunk_batches in the same version, then is compacted."""
+    store = st.Store(spark, Scratch(spark, "store").root, buckets=8)
+    rows = lambda t, v: t.select("text", v.alias("vector"), "source", "chunk_index", "category", "doc_id", "ingested_at", F.col("row_id").alias("seq"))
+    store.append(rows(table(spark, d, "my_docs"), F.col("vector")))
+    store.replace(st.source_match("misc"), rows(table(spark, d, "chunk_batches"), F.lit(None).cast("array<float>")))
+    store.compact()
+    return store.read().groupBy(F.coalesce("category", F.lit("")).alias("category")).agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
+
+
 # ---- changes of files
 
 _EXCLUDED = " AND ".join(f"NOT contains(target, '{n}')" for n in wa.EXCLUDED_DIRS)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -58,14 +59,13 @@ def debounce(events: DataFrame, seconds: float = 5.0, key: str = "target", at: s
     return rows.repartition("_key").sortWithinPartitions("_key", "_at", order).mapInArrow(run, events.schema)
 
 
-def debounce_stream(events: DataFrame, seconds: float = 5.0, key: str = "target", at: str = "happened_at") -> DataFrame:
-    """The same on a stream (key, kind, at): (target, kind, at) of accepted events, with a time of state for each key.
+def debounce_stream(events: DataFrame, seconds: float = 5.0, key: str = "target", at: str = "happened_at", watermark: str | None = None, keep_seconds: int = 86_400) -> DataFrame:
+    """The same on a stream: (target, kind, at) of accepted events, with a time of state for each key.
 
     Events of a key are taken in the order of their time within each trigger; one that is older than the last accepted event is
-    dropped, as its burst is over. State is kept for a day of event time after a key's last event if the stream has a watermark.
+    dropped, as its burst is over. With a ``watermark`` (such as "10 minutes") a key's state goes once the watermark is
+    ``keep_seconds`` past its last event; without one it stays.
     """
-    import pyspark.sql.types as T
-
     out = T.StructType([T.StructField("target", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("at", T.TimestampType())])
 
     def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -75,17 +75,21 @@ def debounce_stream(events: DataFrame, seconds: float = 5.0, key: str = "target"
         rows = pd.concat(list(batches)).sort_values("at")
         last = state.get[0] if state.exists else None
         keep = []
-        for x, kind in zip(rows["at"].astype("datetime64[us]").astype("int64"), rows["kind"]):
+        micros = rows["at"].astype("datetime64[us]").astype("int64")
+        for x, kind in zip(micros, rows["kind"]):
             ok = kind == "moved" or last is None or x - last > seconds * 1e6
             if ok and kind != "moved":
                 last = int(x)
             keep.append(ok)
         if last is not None:
             state.update((last,))
+            if watermark is not None:
+                state.setTimeoutTimestamp(max(int(micros.max() // 1000), state.getCurrentWatermarkMs()) + keep_seconds * 1000)
         yield rows[keep][["target", "kind", "at"]]
 
     x = events.select(F.col(key).alias("target"), "kind", F.col(at).cast("timestamp").alias("at")).filter("at is not null")
-    return x.groupBy("target").applyInPandasWithState(run, out, "last long", "append", "NoTimeout")
+    x = x.withWatermark("at", watermark) if watermark is not None else x
+    return x.groupBy("target").applyInPandasWithState(run, out, "last long", "append", "NoTimeout" if watermark is None else "EventTimeTimeout")
 
 
 def watch(spark: SparkSession, root: str, apply: Callable[[DataFrame], None], checkpoint: str, seconds: float = 5.0, every: str = "5 seconds") -> StreamingQuery:

@@ -226,15 +226,16 @@ def test_debounce(spark):
     assert wa.debounce(wa.relevant(events(spark, ROWS).limit(0))).count() == 0
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("watermark", [None, "1 hour"])
+def test_stream_equals_batch(spark, tmp_path, watermark):
     df = wa.relevant(events(spark, ROWS))
     at = f"{tmp_path}/events"
     df.coalesce(1).write.parquet(at)
     stream = spark.readStream.schema(df.schema).parquet(at)
-    q = wa.debounce_stream(stream).writeStream.format("memory").queryName("accepted").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
+    q = wa.debounce_stream(stream, watermark=watermark).writeStream.format("memory").queryName(f"accepted{watermark is None}").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
     q.processAllAvailable()
     q.stop()
-    got = sorted((r.target, r.at) for r in spark.table("accepted").collect())
+    got = sorted((r.target, r.at) for r in spark.table(f"accepted{watermark is None}").collect())
     assert got == sorted((r.target, r.happened_at) for r in wa.debounce(df).collect())
 
 
@@ -306,3 +307,10 @@ def test_rebuild(spark, tmp_path, folder):
     assert text == "![a](images/img-001.png) ![b](images/img-002.jpg) ![a](images/img-001.png) ![c](images/gone.png)" and len(names) == 2
     cached = spark.createDataFrame([("p", 1, 2), ("q", 1, 2)], "path string, size long, mtime_ns long")
     assert [r.path for r in rb.uncached(cached, rb.uncached(cached.filter("path = 'p'"), spark.createDataFrame([], "cache_key string"))).collect()] == ["q"]
+
+
+def test_report(spark):
+    from lodestone.operators import manage as mg
+
+    text = mg.report(corpus(spark, 20).withColumn("ingested_at", F.lit("2031-01-01T00:00:00Z")).withColumn("doc_id", F.lit("")))
+    assert "Rows: 21" in text and "- note: 10" in text and "- s0 (3)" in text
