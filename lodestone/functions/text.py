@@ -15,13 +15,15 @@ from pyspark.sql.types import StringType
 from ..config import CATEGORIES
 
 WORD = r"([\p{L}\p{N}]+)"
+# What sets paragraphs apart, image links, formulas, and characters of a text layer that can't be converted.
 BLANK_LINE = r"\n\s*\n"
-# Ligatures and what they stand for.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 IMAGE_LINK = r"!\[[^\]]*\]\((images/[^)]+)\)"
 FORMULA = r"(?s)(\$\$.+?\$\$|\$[^$\n]+\$)"
 BROKEN_LAYER = r"[\x{FFFD}\x{E000}-\x{F8FF}\x{1D400}-\x{1D7FF}]|\(cid:"
 
+# Ligatures and what they stand for.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
 
 def strip(c: Column) -> Column:
     """Without outer white space of any kind."""
@@ -77,20 +79,14 @@ def ligatures(c: Column) -> Column:
     return c
 
 
+# A formula between dollar signs, and single letters set apart by a blank each.
 _SPAN = re.compile(r"(\$\$?)(.+?)\1", re.S)
-_SPACED = re.compile(r"(?<![A-Za-z\\])([A-Za-z])\s(?=[A-Za-z](?![A-Za-z]))")
+_APART = re.compile(r"(?<![A-Za-z\\])[A-Za-z](?:\s[A-Za-z](?![A-Za-z]))+")
 
 
 def join_spaced_letters(text: str) -> str:
     """Single letters set apart by blanks inside formulas, put together again."""
-
-    def span(m: re.Match) -> str:
-        body, before = m[2], None
-        while body != before:
-            before, body = body, _SPACED.sub(r"\1", body)
-        return m[1] + body + m[1]
-
-    return _SPAN.sub(span, text)
+    return _SPAN.sub(lambda span: _APART.sub(lambda run: "".join(run[0].split()), span[0]), text)
 
 
 @F.pandas_udf(StringType())

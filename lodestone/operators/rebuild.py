@@ -20,6 +20,7 @@ from . import manage as mg
 from . import store as st
 
 CHECKPOINT = "file_path string, status string, chunks long, error_text string, attempt int, updated_at timestamp"
+# Fixed value: links to images of a converted document.
 _IMAGE = re.compile(r"!\[([^\]]*)\]\((images/[^)]+)\)")
 
 
