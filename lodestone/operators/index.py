@@ -85,7 +85,7 @@ class CellIndex:
             size = np.linalg.norm(sums, axis=1, keepdims=True)
             p = np.where(size > 0, sums / np.maximum(size, 1e-9), p)
         self.pivots = p
-        rows.withColumn("cell", self._cell()(F.col("u"))).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/cells")
+        rows.withColumn("cell", self._cell()(F.col("u"))).repartition(F.col("cell"), F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/cells")
         self.spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(p)], "cell int, pivot array<float>").write.mode("overwrite").parquet(f"{self.path}/pivots")
 
     def search(self, query: list[float], k: int, probes: int = 16) -> DataFrame:
