@@ -58,13 +58,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return index.screen(ordered, store, ["batch_no", "missing", "at", "row_id"]).filter("not accepted").select(F.col("id").alias("row_id"))
 
 
+def _neighbours(spark: SparkSession, d: str, p: ve.Search) -> DataFrame:
+    return ve.neighbours([("chunk", table(spark, d, "my_docs"), "row_id", "vector"), ("image", table(spark, d, "image_chunks"), "image_id", "vector")], p)
+
+
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The five most similar rows (of cosine 0.9 or more) of every usable row of my_docs and image_chunks."""
-    return ve.neighbours([("chunk", table(spark, d, "my_docs"), "row_id", "vector"), ("image", table(spark, d, "image_chunks"), "image_id", "vector")])
+    """The five most similar rows of every usable row of my_docs and image_chunks."""
+    return _neighbours(spark, d, ve.ANY)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    near = p3_neighbours(spark, d)
+    near = _neighbours(spark, d, ve.Search(least=0.9))
     return near.select("tab", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 

@@ -9,12 +9,17 @@ Departure. Over a whole table, single-projection windows hold a fixed share of a
 first dealt to cells around pivots (a bounded sample of the rows); a query visits the cells of its nearest pivots, and windows
 are opened inside a cell only. Cells stay at a constant size, as there are more pivots when there are more rows.
 
+Without a least similarity windows cut nothing off, as the fifth neighbour is often hardly nearer than the rest: a query is held
+against all members of the cells that it visits, and they against it, and more cells are visited when there are more. It always
+visits more than k cells, none of which is empty, so that k rows come out wherever the table has them.
+
 Scale. A row travels as 64 one-byte components to a few cells; cells with too many rows are split in blocks. Of equal vectors only
 the k + 1 lowest ids take part; the others get their neighbours from these.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,13 +35,14 @@ from .sampling import bounded_sample
 
 @dataclass(frozen=True)
 class Search:
-    """k neighbours of at least ``least`` cosine; cells of about ``cell`` rows, of which a row belongs to ``own`` and visits ``visit``.
+    """k neighbours of at least ``least`` cosine (None: of any); cells of about ``cell`` rows, of which a row belongs to ``own`` and visits ``visit``.
 
+    Without ``least``, ``visit`` is the number at 100 cells and grows with the 0.3rd power of the cells, over k at least.
     projections, need: number of windows and of collisions that make a candidate; pivots: bound of the sample.
     """
 
     k: int = 5
-    least: float = 0.9
+    least: float | None = 0.9
     dims: int = 64
     cell: int = 500
     own: int = 2
@@ -46,6 +52,15 @@ class Search:
     pivots: int = 16_384
     block: int = 256
 
+    def visits(self, cells: int) -> int:
+        return min(cells, self.visit if self.least is not None else max(self.k + 1, math.ceil(self.visit * (cells / 100) ** 0.3)))
+
+
+#: For the k most similar rows whatever their similarity.
+ANY = Search(least=None, cell=2000, own=3)
+#: Candidates that a cell gives beyond k, and how far below the k-th coded similarity they may be, as codes aren't exact.
+SPARE, NEAR = 2, 0.008
+
 
 def _usable(column: pa.ChunkedArray | pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the usable vectors of an array column, and these vectors."""
@@ -111,7 +126,7 @@ def _deal(front: DataFrame, pivots: dict[str, np.ndarray], p: Search) -> DataFra
             for tab in sorted(set(tabs)):
                 rows = np.flatnonzero(tabs == tab)
                 pv = shared.value[tab]
-                visit = min(p.visit, len(pv))
+                visit = p.visits(len(pv))
                 for at in range(0, len(rows), 2048):
                     part = rows[at : at + 2048]
                     sims = code[part].astype(np.float32) @ pv.T
@@ -169,11 +184,11 @@ def count_collisions(q: np.ndarray, x: np.ndarray, p: Search) -> tuple[np.ndarra
     return (np.concatenate(out_q), np.concatenate(out_x)) if out_q else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _candidates(dealt: DataFrame, p: Search) -> DataFrame:
-    """(tab, a, b), a < b: pairs that collide often enough and whose coded similarity isn't below the least by more than the codes' error."""
+def _blocks(dealt: DataFrame, scratch: Scratch, p: Search) -> tuple[DataFrame, bool]:
+    """The dealt rows with mp and qp, the block of members and of queries in their cell; whether members have a row of their own beside the query's."""
     sizes = dealt.groupBy("tab", "cell").agg(F.sum(F.col("member").cast("long")).alias("m"), F.count("*").alias("n"))
     # as many rows as there are pivots, which are bounded
-    parts = sizes.select("tab", "cell", F.ceil(F.col("m") / (8 * p.cell)).cast("int").alias("ms"), F.ceil(F.col("n") / (32 * p.cell)).cast("int").alias("qs"))
+    parts = scratch.save(sizes.select("tab", "cell", F.ceil(F.col("m") / (8 * p.cell)).cast("int").alias("ms"), F.ceil(F.col("n") / (32 * p.cell)).cast("int").alias("qs")), "blocks")
     x = dealt.join(F.broadcast(parts), ["tab", "cell"])
     own_m, own_q = (F.pmod(F.xxhash64("id", F.lit(s)), F.greatest(F.col(c), F.lit(1))).cast("int") for s, c in ((1, "ms"), (2, "qs")))
 
@@ -182,11 +197,17 @@ def _candidates(dealt: DataFrame, p: Search) -> DataFrame:
 
     queries = x.select("tab", "cell", "id", "code", "scale", F.lit(False).alias("member"), F.explode(every("ms")).alias("mp"), own_q.alias("qp"))
     members = x.filter("member").select("tab", "cell", "id", "code", "scale", F.lit(True).alias("member"), own_m.alias("mp"), F.explode(every("qs")).alias("qp"))
-    split = x.filter("ms > 1 or qs > 1").limit(1).count() > 0
+    split = parts.filter("ms > 1 or qs > 1").limit(1).count() > 0
     if split:
         rows = queries.unionByName(members)
     else:  # one block a cell: a member row is also the query
         rows = x.select("tab", "cell", "id", "code", "scale", "member", F.lit(0).alias("mp"), F.lit(0).alias("qp"))
+    return rows, split
+
+
+def _candidates(dealt: DataFrame, scratch: Scratch, p: Search) -> DataFrame:
+    """(tab, a, b), a < b: pairs that collide often enough and whose coded similarity isn't below the least by more than the codes' error."""
+    rows, split = _blocks(dealt, scratch, p)
 
     def compare(t: pa.Table) -> pa.Table:
         member = t.column("member").to_numpy()
@@ -205,8 +226,111 @@ def _candidates(dealt: DataFrame, p: Search) -> DataFrame:
     return rows.groupBy("tab", "cell", "mp", "qp").applyInArrow(compare, "tab string, a long, b long").distinct()
 
 
+_NEAR = np.dtype([("id", "<i8"), ("sim", "<f4")])
+
+
+def _best(a: np.ndarray, b: np.ndarray, sim: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sim, rank) of the most similar b of each a, sorted; equal ones by b."""
+    order = np.lexsort((b, -sim, a))
+    a, b, sim = a[order], b[order], sim[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])  # the same pair has the same coded similarity, wherever it is met
+    a, b, sim = a[new], b[new], sim[new]
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    top = rank < keep
+    return a[top], b[top], sim[top], rank[top]
+
+
+def _kth(s: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest value of each row."""
+    return np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] >= k else np.full(len(s), -8, np.float32)
+
+
+def _packed(a: np.ndarray, sim: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions and a similarity to six places in one number each, which sorts by a, falling similarity and b."""
+    return (a.astype(np.int64) << 41) | (np.rint(1e6 - sim * 1e6).astype(np.int64).clip(0, (1 << 21) - 1) << 20) | b
+
+
+def _first(keys: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keep first packed numbers of each a, sorted; their rank."""
+    keys = np.sort(keys)
+    a = keys >> 41
+    start = np.flatnonzero(np.append(True, a[1:] != a[:-1])[: len(a)])
+    rank = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+    return keys[rank < keep], rank[rank < keep]
+
+
+def _unpacked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return keys >> 41, 1 - (keys >> 20 & ((1 << 21) - 1)) / 1e6, keys & ((1 << 20) - 1)
+
+
+def most_similar(q: np.ndarray, x: np.ndarray, q_ids: np.ndarray, x_ids: np.ndarray, keep: int, block: int) -> tuple[np.ndarray, ...]:
+    """(id, other, sim, rank): for each row of q the keep most similar of x, and for each of x those of q; rows with one id aren't compared."""
+    oq, ox = np.argsort(q_ids), np.argsort(x_ids)  # positions in the order of the ids, so that ties go to the lower
+    q, q_ids, x, x_ids = q[oq], q_ids[oq], x[ox], x_ids[ox]
+    if max(len(q), len(x)) > 1 << 20:
+        raise ValueError("a block of over a million rows")
+    at_id = np.clip(np.searchsorted(x_ids, q_ids), 0, len(x) - 1)
+    own = np.where(x_ids[at_id] == q_ids, at_id, -1)
+    floor, seen, out = np.full(len(x), -8, np.float32), np.zeros(0, np.int64), []
+    for at in range(0, len(q), block):
+        s = q[at : at + block] @ x.T
+        r = np.flatnonzero(own[at : at + block] >= 0)
+        s[r, own[at + r]] = -9
+        # values that can't be among the best aren't looked at: each side has keep better ones, but for the last place of six
+        if not at:
+            floor = _kth(np.ascontiguousarray(s[:256].T), keep) - np.float32(2e-6)
+        low = _kth(s[:, :1024], keep) - np.float32(2e-6)
+        for side, least in enumerate((low[:, None], floor)):
+            hit = np.flatnonzero(s >= np.maximum(least, -8))
+            i, j = np.divmod(hit, len(x))
+            if side:
+                seen, rank = _first(np.concatenate([seen, _packed(j, s.ravel()[hit], at + i)]), keep)
+            else:
+                out.append(_first(_packed(at + i, s.ravel()[hit], j), keep)[0])
+        full = _unpacked(seen[rank == keep - 1])
+        floor[full[0]] = full[1] - 2e-6
+    (a, sim, b), (c, other, d) = _unpacked(np.concatenate(out)), _unpacked(seen)
+    return _best(np.concatenate([q_ids[a], x_ids[c]]), np.concatenate([x_ids[b], q_ids[d]]), np.concatenate([sim, other]), keep)
+
+
+def _nearest(dealt: DataFrame, rows: int, scratch: Scratch, p: Search) -> DataFrame:
+    """(tab, a, b), a < b: each row with the k most similar of the cells that it visits or is visited in, and those that the codes can't tell from them."""
+    blocks, split = _blocks(dealt, scratch, p)
+
+    def compare(t: pa.Table) -> pa.Table:
+        member, ids = t.column("member").to_numpy(), t.column("id").to_numpy()
+        u = _matrix(t.column("code"), p.dims).astype(np.float32)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        mi, qi = np.flatnonzero(member), np.flatnonzero(~member) if split else np.arange(len(ids))
+        if not len(mi) or not len(qi):
+            return pa.table({"tab": pa.array([], pa.string()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.binary())})
+        a, b, sim, rank = most_similar(u[qi], u[mi], ids[qi], ids[mi], p.k + SPARE, p.block)
+        near = np.empty(len(b), _NEAR)
+        near["id"], near["sim"] = b, sim
+        first = np.flatnonzero(rank == 0)
+        offsets = np.append(first, len(b)).astype(np.int32) * _NEAR.itemsize
+        lists = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(near.tobytes())])
+        return pa.table({"tab": pa.array([t.column("tab")[0].as_py()] * len(first), pa.string()), "id": a[first], "near": lists})
+
+    near = blocks.groupBy("tab", "cell", "mp", "qp").applyInArrow(compare, "tab string, id long, near binary")
+
+    def merge(t: pa.Table) -> pa.Table:
+        lists = t.column("near").to_pylist()
+        x = np.frombuffer(b"".join(lists), _NEAR)
+        a, b, sim, rank = _best(np.repeat(t.column("id").to_numpy(), [len(y) // _NEAR.itemsize for y in lists]), x["id"], x["sim"], p.k + SPARE)
+        kth = sim[np.maximum(np.arange(len(a)) - np.maximum(rank - p.k + 1, 0), 0)]
+        keep = (rank < p.k) | (sim >= kth - NEAR)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[keep], axis=0)
+        return pa.table({"tab": pa.array([t.column("tab")[0].as_py()] * len(pairs), pa.string()), "a": pairs[:, 0], "b": pairs[:, 1]})
+
+    # about as many rows in each part, whatever the size of the table
+    part = F.pmod(F.xxhash64("id"), F.lit(max(1, rows // 20_000)))
+    return near.groupBy("tab", part.alias("part")).applyInArrow(merge, "tab string, a long, b long").distinct()
+
+
 def neighbours(tables: list[tuple[str, DataFrame, str, str]], p: Search = Search()) -> DataFrame:
-    """(tab, id, neighbour, similarity, rank): up to k most similar other rows of at least the least similarity, for every usable row.
+    """(tab, id, neighbour, similarity, rank): up to k most similar other rows of at least the least similarity, for every usable row. Without a least similarity k rows for each, if the table has them.
 
     tables: (name, table, id column, vector column) each, searched by itself. Similarity is the cosine, rounded to six decimals;
     between equal ones the lower id goes first. Rows whose vector is null, of another length, all zero or not finite have no
@@ -226,8 +350,11 @@ def neighbours(tables: list[tuple[str, DataFrame, str, str]], p: Search = Search
         coded.select("tab", "digest", "id").join(crowded, ["tab", "digest"], "left_semi").join(heads.select("tab", "id"), ["tab", "id"], "left_anti"), "behind"
     )
     front = coded.join(broadcast_if_small(behind.select("tab", "id")), ["tab", "id"], "left_anti")
-    dealt = scratch.save(_deal(front, _pivots(front, p), p), "cells")
-    candidates = scratch.save(_candidates(dealt, p), "candidates")
+    dealt = _deal(front, _pivots(front, p), p)
+    if p.least is None:  # many visits: dealt twice rather than stored
+        candidates = scratch.save(_nearest(dealt, front.count(), scratch, p), "candidates")
+    else:
+        candidates = scratch.save(_candidates(scratch.save(dealt, "cells"), scratch, p), "candidates")
     pairs = scratch.save(_verified(tables, candidates, p), "pairs")
     both = pairs.select("tab", F.col("a").alias("id"), F.col("b").alias("neighbour"), "similarity").unionByName(pairs.select("tab", F.col("b").alias("id"), F.col("a").alias("neighbour"), "similarity"))
     # the rows behind see what the first row of their vector sees, and that row
@@ -243,7 +370,7 @@ def neighbours(tables: list[tuple[str, DataFrame, str, str]], p: Search = Search
 
 
 def _verified(tables, candidates: DataFrame, p: Search) -> DataFrame:
-    """(tab, a, b, similarity) of the candidates of at least the least similarity, from the vectors as stored."""
+    """(tab, a, b, similarity) of the candidates, without those under the least similarity, from the vectors as stored."""
     vectors = None
     for tab, df, id_col, vector_col in tables:
         one = df.select(F.lit(tab).alias("tab"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
@@ -257,6 +384,6 @@ def _verified(tables, candidates: DataFrame, p: Search) -> DataFrame:
             x, y = (_unit(np.asarray(pc.list_flatten(t.column(c)).to_numpy(zero_copy_only=False), np.float64).reshape(-1, p.dims)) for c in ("va", "vb"))
             sim = np.round(np.einsum("ij,ij->i", x, y), 6)
             out = pa.RecordBatch.from_arrays([t.column("tab"), t.column("a"), t.column("b"), pa.array(sim)], names=["tab", "a", "b", "similarity"])
-            yield out.filter(pa.array(sim >= p.least))
+            yield out if p.least is None else out.filter(pa.array(sim >= p.least))
 
     return j.select("tab", "a", "b", "va", "vb").mapInArrow(run, "tab string, a long, b long, similarity double")

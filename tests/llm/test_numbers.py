@@ -47,6 +47,19 @@ def test_split_cells(spark):
     assert len(got & want) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("p", [ve.ANY, ve.Search(least=None, cell=60, own=3), ve.Search(least=None, cell=10, own=3, pivots=4)])
+def test_five_neighbours_for_every_row(spark, p):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(700, 64))
+    x = np.concatenate([base, base[:50] + rng.normal(size=(50, 64)) * 0.2, np.repeat(base[:1], 12, 0)]).astype(np.float32)
+    ids = rng.permutation(len(x)).tolist()
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)] + [(1000, None), (1001, [0.0] * 64)], "row_id long, vector array<float>")
+    got = [(r.id, r.neighbour) for r in ve.neighbours([("t", df, "row_id", "vector")], p).collect()]
+    want = brute(ids, x.astype(np.float64), 5, -1)
+    assert len(got) == len(set(got)) == len(want) == 5 * len(x)
+    assert len(set(got) & want) >= 0.97 * len(want)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pack(seed):
     rng = random.Random(seed)
