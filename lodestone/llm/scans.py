@@ -3,8 +3,9 @@
 Method. Lines of scanned rows are numbered by SQL windows. Lines at page edges whose text repeats in a source once digits are
 masked (and confusable glyphs folded) are running titles; lines there with nothing but a number are page numbers. The rest is
 reflowed by windows: words cut at line ends are joined, lines become paragraphs. Words are grouped by the skeleton of their
-confusable glyphs: a rare form gives way to a frequent one of its group that differs by known confusions, chosen by the words
-beside it, then by frequency.
+confusable glyphs: a form gives way to a more frequent one of its group that differs by known confusions, chosen by the words
+beside it, then by frequency. Unless it is far more frequent, something else must speak against the form as it stands: a digit
+in it, that no text but PDF ones has it, or that it leans to PDF texts and the other one is more usual beside the same words. Copies of a text don't count.
 
 Scale. Words are counted over the whole store, in each task first; all else touches the scanned rows only, and their rare words.
 """
@@ -16,7 +17,7 @@ from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, broadcast_if_small
@@ -79,37 +80,51 @@ def confusions(seen: str, right: str, most: int = MOST) -> int | None:
     return ways.get(len(right), {}).get(len(seen))
 
 
-def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n): lower-case words of all texts, with inner hyphens and apostrophes; runs of Han characters aren't words."""
+def word_counts(df: DataFrame, text_col: str = "text", apart: Column | None = None) -> DataFrame:
+    """(word, n, o): how often each lower-case word stands in all texts, and in those not ``apart``; words have inner hyphens and apostrophes, runs of Han characters aren't words."""
 
     def run(batches):
         n: Counter = Counter()
+        o: Counter = Counter()
 
         def out():
             words = [w for w in n if not w.isdigit()]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n[w] for w in words], pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (n, o))], names=["word", "n", "o"])
 
         for b in batches:
-            for t in b.column("text").to_pylist():
-                n.update(_WORD.findall(t.lower()))
+            for t, other in zip(b.column("text").to_pylist(), b.column("apart").to_pylist()):
+                words = _WORD.findall(t.lower())
+                n.update(words)
+                if not other:
+                    o.update(words)
             if len(n) > 1_000_000:
                 yield out()
                 n.clear()
+                o.clear()
         yield out()
 
-    return df.select(F.col(text_col).alias("text")).filter("text is not null").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    x = df.select(F.col(text_col).alias("text"), F.coalesce(F.lit(False) if apart is None else apart, F.lit(False)).alias("apart")).filter("text is not null")
+    return x.mapInArrow(run, "word string, n long, o long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("o").alias("o"))
+
+
+def _without_copies(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """The rows of df without those whose text is that of a row of a lower id; hashes and ids are moved, texts aren't."""
+    same = Window.partitionBy("h").orderBy("id")
+    hashed = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    copies = scratch.save(hashed.withColumn("r", F.row_number().over(same)).filter("r > 1").select(F.col("id").alias(id_col)), "copies")
+    return df.join(broadcast_if_small(copies), id_col, "left_anti")
 
 
 def _skeleton_table(df: DataFrame) -> DataFrame:
-    """df (word, n) with a row for each skeleton."""
+    """df (word, n, o) with a row for each skeleton."""
 
     def run(batches):
         for b in batches:
             rows = [(i, s) for i, w in enumerate(b.column("word").to_pylist()) for s in skeletons(w)]
             take = pa.array([i for i, _ in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("word").take(take), b.column("n").take(take), pa.array([s for _, s in rows], pa.string())], names=["word", "n", "skeleton"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("word", "n", "o")), pa.array([s for _, s in rows], pa.string())], names=["word", "n", "o", "skeleton"])
 
-    return df.select("word", "n").mapInArrow(run, "word string, n long, skeleton string")
+    return df.select("word", "n", "o").mapInArrow(run, "word string, n long, o long, skeleton string")
 
 
 def scanned_lines(df: DataFrame, id_col: str, text_col: str, source_col: str, scratch: Scratch) -> DataFrame:
@@ -185,7 +200,8 @@ def repair(df: DataFrame, id_col: str = "row_id", text_col: str = "text", source
     other columns are ignored. Empty tables give empty results.
     """
     scratch = Scratch(df.sparkSession, "p5")
-    counts = scratch.save(word_counts(df, text_col), "words")
+    once = _without_copies(df.select(*dict.fromkeys([id_col, text_col, source_col])), id_col, text_col, scratch)
+    counts = scratch.save(word_counts(once, text_col, F.lower(source_col).endswith(".pdf")), "words")
     lines = scratch.save(marked_lines(scratch.save(scanned_lines(df, id_col, text_col, source_col, scratch), "lines")).select("row_id", "src", "n", "line", "t", "gap", "kind", "width"), "marked")
     row = Window.partitionBy("row_id").orderBy("n")
     body = lines.filter("kind = 'body'").withColumn("next", F.lead("t").over(row))
@@ -226,27 +242,33 @@ def repair(df: DataFrame, id_col: str = "row_id", text_col: str = "text", source
 
 
 def _right_forms(words: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(word, reading, n, k): for rare words of the scanned rows the frequent forms of their skeletons, k known confusions away."""
+    """(word, reading, m, k, sure): for words of the scanned rows the more frequent forms of their skeletons, k known confusions away; sure: whatever stands beside."""
     own = _count_of(words.select("word").filter(r"word rlike '\\p{L}' and (length(word) > 2 or word rlike '[0-9]')"), counts, scratch)
-    rare = _skeleton_table(own)
-    frequent = scratch.save(_skeleton_table(counts.filter(F.col("n") >= FREQUENT).filter(r"not word rlike '[0-9]'")).withColumnsRenamed({"word": "reading", "n": "m"}), "frequent")
-    pairs = rare.join(frequent, "skeleton").filter(f"word <> reading and m >= {RATIO} * n").select("word", "reading", "m").distinct()
+    seen = _skeleton_table(own)
+    others = scratch.save(_skeleton_table(counts.filter("n > 1").filter(r"not word rlike '[0-9]'")).select(F.col("word").alias("reading"), F.col("n").alias("m"), F.col("o").alias("mo"), "skeleton"), "others")
+    sure = F.expr(f"(m >= {FREQUENT} and m >= {RATIO} * n) or o = 0 or word rlike '[0-9]'")
+    pairs = seen.join(others, "skeleton").filter("word <> reading and m > n").filter(sure | F.expr("2 * o * m <= n * mo")).select("word", "reading", "m", sure.alias("sure")).distinct()
 
     def run(batches):
         for b in batches:
             k = [confusions(w, r) for w, r in zip(b.column("word").to_pylist(), b.column("reading").to_pylist())]
-            out = pa.RecordBatch.from_arrays([b.column("word"), b.column("reading"), b.column("m"), pa.array(k, pa.int32())], names=["word", "reading", "m", "k"])
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("word", "reading", "m")), pa.array(k, pa.int32()), b.column("sure")], names=["word", "reading", "m", "k", "sure"])
             yield out.filter(pa.array([x is not None for x in k]))
 
-    return scratch.save(pairs.mapInArrow(run, "word string, reading string, m long, k int"), "forms")
+    return scratch.save(pairs.mapInArrow(run, "word string, reading string, m long, k int, sure boolean"), "forms")
 
 
 def _in_context(words: DataFrame, right: DataFrame) -> DataFrame:
-    """(row_id, at, word, reading): the form that most scanned rows have beside the same words, then with fewest confusions, then the most frequent."""
+    """(row_id, at, word, reading): the form that most scanned rows have beside the same words, then with fewest confusions, then the most frequent.
+
+    One that isn't sure must be more usual beside these words than the form that stands there.
+    """
     asked = words.join(right, "word")
-    left = words.groupBy("left", F.col("word").alias("reading")).agg(F.count("*").alias("nl"))
-    after = words.groupBy("right", F.col("word").alias("reading")).agg(F.count("*").alias("nr"))
+    left = words.groupBy("left", F.col("word").alias("reading")).agg(F.count_distinct("row_id").alias("nl"))
+    after = words.groupBy("right", F.col("word").alias("reading")).agg(F.count_distinct("row_id").alias("nr"))
     scored = asked.join(left, ["left", "reading"], "left").join(after, ["right", "reading"], "left").withColumn("support", F.coalesce("nl", F.lit(0)) + F.coalesce("nr", F.lit(0)))
+    scored = scored.join(left.select("left", F.col("reading").alias("word"), F.col("nl").alias("ol")), ["left", "word"], "left").join(after.select("right", F.col("reading").alias("word"), F.col("nr").alias("or")), ["right", "word"], "left")
+    scored = scored.filter(F.col("sure") | (F.col("support") > F.coalesce("ol", F.lit(0)) + F.coalesce("or", F.lit(0))))
     best = Window.partitionBy("row_id", "at").orderBy(F.desc(F.col("support") > 0), "k", F.desc("support"), F.desc("m"), "reading")
     return scored.withColumn("r", F.row_number().over(best)).filter("r = 1").select("row_id", "at", "word", "reading")
 

@@ -146,6 +146,18 @@ def test_scanned_pages(spark):
     assert [x.count() for x in sc.repair(df.limit(0))] == [0, 0]
 
 
+def test_rare_right_forms(spark):
+    # the right form is in two texts only; a copy of the scanned page adds nothing; words that other texts use as well stay
+    page = PAGE.format(n=7, foot="").replace("rnanual", "manual") + "The geländeerqebnisse of the digue were kept in the yearbook.\n"
+    notes = ["The geländeergebnisse of the year.", "Many geländeergebnisse stand here.", "La digue est longue.", *(f"El dique {i} es largo." for i in range(40)), "The digue of the town."]
+    rows = [(1, page, "a.pdf"), (2, page, "b.pdf"), *((10 + i, t, "notes.md") for i, t in enumerate(notes))]
+    found, texts = sc.repair(spark.createDataFrame(rows, "row_id long, text string, source string"))
+    got = {r.reading for r in found.filter("kind = 'misread' and row_id = 1").collect()}
+    assert "geländeergebnisse" in got
+    text = dict(texts.collect())[1]
+    assert "geländeergebnisse" in text
+
+
 def test_confusions():
     assert sc.confusions("rnanuel", "manuel") == 1 and sc.confusions("r6su1tats", "résultats") == 2
     assert sc.confusions("manual", "manuel") is None and sc.confusions("same", "same") == 0
