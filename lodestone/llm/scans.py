@@ -6,6 +6,7 @@ reflowed by windows: words cut at line ends are joined, lines become paragraphs.
 confusable glyphs: a form gives way to a more frequent one of its group that differs by known confusions, chosen by the words
 beside it, then by frequency. Unless it is far more frequent, something else must speak against the form as it stands: a digit
 in it, that no text but PDF ones has it, or that it leans to PDF texts and the other one is more usual beside the same words. Copies of a text don't count.
+Of words of one or two letters only what stands beside them decides.
 
 Scale. Words are counted over the whole store, in each task first; all else touches the scanned rows only, and their rare words.
 """
@@ -243,11 +244,12 @@ def repair(df: DataFrame, id_col: str = "row_id", text_col: str = "text", source
 
 def _right_forms(words: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
     """(word, reading, m, k, sure): for words of the scanned rows the more frequent forms of their skeletons, k known confusions away; sure: whatever stands beside."""
-    own = _count_of(words.select("word").filter(r"word rlike '\\p{L}' and (length(word) > 2 or word rlike '[0-9]')"), counts, scratch)
+    own = _count_of(words.select("word").filter(r"word rlike '\\p{L}'"), counts, scratch)
     seen = _skeleton_table(own)
     others = scratch.save(_skeleton_table(counts.filter("n > 1").filter(r"not word rlike '[0-9]'")).select(F.col("word").alias("reading"), F.col("n").alias("m"), F.col("o").alias("mo"), "skeleton"), "others")
-    sure = F.expr(f"(m >= {FREQUENT} and m >= {RATIO} * n) or o = 0 or word rlike '[0-9]'")
-    pairs = seen.join(others, "skeleton").filter("word <> reading and m > n").filter(sure | F.expr("2 * o * m <= n * mo")).select("word", "reading", "m", sure.alias("sure")).distinct()
+    # what one or two letters could be is too much: they always go by what stands beside
+    sure = F.expr(f"(length(word) > 2 and ((m >= {FREQUENT} and m >= {RATIO} * n) or o = 0)) or word rlike '[0-9]'")
+    pairs = seen.join(others, "skeleton").filter("word <> reading and m > n").filter(sure | F.expr("length(word) <= 2 or 2 * o * m <= n * mo")).select("word", "reading", "m", sure.alias("sure")).distinct()
 
     def run(batches):
         for b in batches:

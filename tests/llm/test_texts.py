@@ -158,6 +158,13 @@ def test_rare_right_forms(spark):
     assert "geländeergebnisse" in text
 
 
+def test_short_misreads_go_by_context(spark):
+    pages = [(i, f"the team took la prévision of the day {i} into the\nlist of the river and lá procédure of the town {i} as\nthe base of the plan and la procédure of the river\nstays with la procédure of the town.\n", f"{i}.pdf") for i in range(6)]
+    other = [(100 + i, f"la rivière {i} la digue", "notes.md") for i in range(30)] + [(200, "ele está lá hoje", "notes.md")]
+    found, texts = sc.repair(spark.createDataFrame(pages[:1] + [(i, t.replace("lá", "la"), s) for i, t, s in pages[1:]] + other, "row_id long, text string, source string"))
+    assert (0, "misread", "la") in {tuple(r) for r in found.collect()} and "and la procédure" in dict(texts.collect())[0]
+
+
 def test_confusions():
     assert sc.confusions("rnanuel", "manuel") == 1 and sc.confusions("r6su1tats", "résultats") == 2
     assert sc.confusions("manual", "manuel") is None and sc.confusions("same", "same") == 0
