@@ -26,32 +26,34 @@ def uniform(id_col, seed: int) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(id_col, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def rates(sized: DataFrame, targets: DataFrame, total_tokens: int | str | None = None) -> DataFrame:
-    """(source, target_share, max_repeats, docs, available, total, rate) of each target.
+def rates(sized: DataFrame, targets: DataFrame, total_tokens: int | str = "available") -> DataFrame:
+    """(source, target_share, max_repeats, docs, available, wanted, rate) of each target.
 
-    total is the size asked for; by default the largest at which every target that has tokens gets its share within its repeats,
-    if the targets without any are left out. A total above that leaves small sources short: their rate stays at max_repeats.
-    "available" asks for as many tokens as all targets have.
+    wanted is a target's share of the size asked for, targets without any tokens left out of the shares. "available" asks for as
+    many tokens as all targets have: sources that can't reach their share stay at max_repeats and are reported as short, the
+    others have theirs of that size. "reached" asks for the largest size at which every target with tokens reaches its share, and
+    so the scarcest one decides for all. A number is the size in tokens.
     """
     t = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").filter("source is not null and target_share > 0")
     t = t.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     own = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("available"))
     x = t.join(own, "source", "left").fillna(0, ["docs", "available"])
     here = x.filter("available > 0").agg(F.sum("target_share").alias("present"), F.min(F.col("max_repeats") * F.col("available") / F.col("target_share")).alias("reach"), F.sum("available").alias("stock"))
-    total = F.col("reach") * F.col("present") if total_tokens is None else F.col("stock").cast("double") if total_tokens == "available" else F.lit(float(total_tokens))
+    total = F.col("stock").cast("double") if total_tokens == "available" else F.col("reach") * F.col("present") if total_tokens == "reached" else F.lit(float(total_tokens))
     # one row beside a row for each target
-    x = x.crossJoin(F.broadcast(here)).withColumn("total", total)
-    rate = F.when(F.col("available") > 0, F.least(F.col("max_repeats").cast("double"), F.col("target_share") / F.col("present") * F.col("total") / F.col("available"))).otherwise(F.lit(0.0))
-    return x.select("source", "target_share", "max_repeats", "docs", "available", "total", rate.alias("rate"))
+    x = x.crossJoin(F.broadcast(here)).withColumn("wanted", F.when(F.col("available") > 0, F.col("target_share") / F.col("present") * total).otherwise(F.lit(0.0)))
+    rate = F.when(F.col("available") > 0, F.least(F.col("max_repeats").cast("double"), F.col("wanted") / F.col("available"))).otherwise(F.lit(0.0))
+    return x.select("source", "target_share", "max_repeats", "docs", "available", "wanted", rate.alias("rate"))
 
 
 def mix(
-    docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_tokens: int | str | None = None, seed: int = 0, tokenizer: str = TOKENIZER
+    docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_tokens: int | str = "available", seed: int = 0, tokenizer: str = TOKENIZER
 ) -> tuple[DataFrame, DataFrame]:
     """The collection (id, source, copy, tokens) and its report, a row for each target.
 
-    report: source, target_share, max_repeats, docs, available, rate, copies, tokens, actual_share, short (the repeats kept it under
-    its share). Documents of unlisted sources and those without tokens are left out. Targets without documents get nothing and
+    report: source, target_share, max_repeats, docs, available, wanted (tokens that its share amounts to), rate, spread (standard
+    deviation of its tokens, from the copies that a hash decides), copies, tokens, actual_share, short (the repeats kept it
+    under its share). Documents of unlisted sources and those without tokens are left out. Targets without documents get nothing and
     are reported so; several rows for one source are added up. No targets or no documents give an empty collection.
     """
     scratch = Scratch(docs.sparkSession, "p8")
@@ -65,11 +67,13 @@ def mix(
     copies = (F.floor("rate") + (uniform("id", seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
     drawn = x.withColumn("n", copies).filter("n > 0").select("id", "source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"), "tokens")
     got = drawn.groupBy("source").agg(F.count("*").alias("copies"), F.sum("tokens").alias("tokens"))
+    part = F.col("rate") - F.floor("rate")
+    spread = x.groupBy("source").agg(F.sqrt(F.sum(F.col("tokens").cast("double") * F.col("tokens") * part * (1 - part))).alias("spread"))
     all_tokens = got.agg(F.sum("tokens").alias("all_tokens"))
-    report = r.join(got, "source", "left").crossJoin(F.broadcast(all_tokens)).fillna(0, ["copies", "tokens"])
+    report = r.join(got, "source", "left").join(spread, "source", "left").crossJoin(F.broadcast(all_tokens)).fillna(0, ["copies", "tokens", "spread"])
     report = report.select(
-        "source", "target_share", "max_repeats", "docs", "available", F.round("rate", 6).alias("rate"), "copies", "tokens",
+        "source", "target_share", "max_repeats", "docs", "available", F.round("wanted", 2).alias("wanted"), F.round("rate", 6).alias("rate"), F.round("spread", 2).alias("spread"), "copies", "tokens",
         F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"),
-        ((F.col("rate") >= F.col("max_repeats")) & (F.col("tokens") < 0.999 * F.col("target_share") * F.col("total")) | (F.col("available") == 0)).alias("short"),
+        ((F.col("rate") >= F.col("max_repeats")) & (F.col("wanted") > F.col("max_repeats") * F.col("available")) | (F.col("available") == 0)).alias("short"),
     )
     return drawn, report

@@ -102,12 +102,12 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return pk.fill_report(pk.containers(table(spark, d, "documents")))
 
 
-def _mix(spark: SparkSession, d: str, total: int | str | None = None) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, d: str, total: int | str = "available") -> tuple[DataFrame, DataFrame]:
     return mx.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), total_tokens=total)
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    """The documents drawn, with a row for each copy."""
+    """The documents drawn, with a row for each copy: as many tokens as the sources hold, sources at their repeats stay short."""
     return _mix(spark, d)[0].withColumnRenamed("id", "doc_id")
 
 
@@ -115,6 +115,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-def p8_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
-    """The shares if as many tokens are asked for as the sources have: sources at their repeats stay short."""
-    return _mix(spark, d, "available")[1]
+def p8_shares_reached(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of the largest collection in which each source reaches its own: the scarcest source decides."""
+    return _mix(spark, d, "reached")[1]
+
+
+def p8_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of p8_shares: repeats are kept, and a source has its wanted tokens, within five standard deviations, or all that it may give."""
+    r = _mix(spark, d)[1]
+    most = F.col("max_repeats") * F.col("available")
+    near = F.abs(F.col("tokens") - F.least("wanted", most)) <= 5 * F.col("spread") + 1
+    return r.select("source", "target_share", "max_repeats", "docs", (F.col("copies") <= F.col("docs") * F.col("max_repeats")).alias("repeats_kept"), near.alias("share_kept"), (F.col("tokens") <= most).alias("within_stock"))

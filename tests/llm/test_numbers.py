@@ -102,7 +102,7 @@ def test_containers(spark):
     assert pk.fill_report(pk.containers(df.limit(0))).first().containers == 0
 
 
-def mixture(spark, total=None):
+def mixture(spark, total="available"):
     docs = [(i, "one two three four " * (i % 5 + 1), ["Big", " big", "small", "tiny", "other", None, ""][i % 7]) for i in range(7000)]
     docs = [d for d in docs if d[2] != "tiny" or d[0] < 200] + [(9001, None, "big"), (9002, "", "big")]
     t = [("big", 0.5, 1), ("SMALL ", 0.3, 4), ("tiny", 0.1, 3), ("none", 0.1, 2), (None, 0.0, 1)]
@@ -111,13 +111,24 @@ def mixture(spark, total=None):
 
 
 def test_mix_reaches_its_shares(spark):
-    drawn, report = mixture(spark)
+    drawn, report = mixture(spark, "reached")
     r = {x.source: x for x in report.collect()}
     assert set(r) == {"big", "small", "tiny", "none"} and r["none"].tokens == 0 and r["none"].short
     for s in ("big", "small", "tiny"):
         assert abs(r[s].actual_share - r[s].target_share / 0.9) < 0.12 and r[s].rate <= r[s].max_repeats
     assert drawn.groupBy("id").agg(F.max("copy").alias("c"), F.count("*").alias("n")).filter("c <> n").count() == 0
-    assert {tuple(x) for x in drawn.collect()} == {tuple(x) for x in mixture(spark)[0].collect()}  # the seed decides
+    assert {tuple(x) for x in drawn.collect()} == {tuple(x) for x in mixture(spark, "reached")[0].collect()}  # the seed decides
+
+
+def test_mix_of_what_is_there(spark):
+    drawn, report = mixture(spark)
+    r = {x.source: x for x in report.collect()}
+    stock = sum(x.available for x in r.values())
+    assert r["tiny"].short and r["tiny"].copies == 3 * r["tiny"].docs and not r["small"].short
+    for s in ("big", "small"):  # a scarce source doesn't make the others smaller
+        assert abs(r[s].wanted - r[s].target_share / 0.9 * stock) < 1
+        assert abs(r[s].tokens - min(r[s].wanted, r[s].available * r[s].max_repeats)) <= 5 * r[s].spread + 1
+    assert drawn.groupBy("id", "source").count().join(report, "source").filter("count > max_repeats").count() == 0
 
 
 def test_mix_keeps_the_repeats(spark):
