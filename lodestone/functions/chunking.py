@@ -1,12 +1,17 @@
-"""Chunkers: paragraphs packed greedily with an overlap, and Markdown by sections.
+"""Chunkers: paragraphs packed with an overlap, and Markdown by sections.
 
-Packing is a recurrence over a document's paragraphs, so each document is chunked on its own in an Arrow batch; nothing is shuffled.
+A text is seen through offsets. Sentence ends of a long paragraph are positions in it without the white space after sentences, so that a
+piece is the slice up to the last end within the limit. Paragraphs are packed by their cumulative lengths: a chunk's last paragraph is
+found by bisection, and the overlap only moves where the count begins. Each document is chunked on its own in an Arrow batch; nothing is
+shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,84 +19,78 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 
-# What sets paragraphs and sentences apart, and headings of the first four levels.
+# What sets paragraphs and sentences apart, and headings of the first four levels with their title.
 _BLANK_LINE = re.compile(r"\n\s*\n")
-_SENTENCE = re.compile(r"(?<=[。！？；!?;.])\s*")
-_HEADING = re.compile(r"(#{1,4})\s+(.+?)(?:\s+#+)?")
+_AFTER_SENTENCE = re.compile(r"([。！？；!?;.])\s+")
+_SENTENCE_END = re.compile(r"[。！？；!?;.]")
+_HEADING = re.compile(r"^[^\S\n]*#{1,4}[^\S\n]+(\S(?:[^\n]*?\S)??)(?:[^\S\n]+#+)?[^\S\n]*$", re.M)
+
+
+def _slices(paragraph: str, limit: int) -> Iterator[str]:
+    """A paragraph without the blanks between its sentences, in slices that end with a sentence where one ends within the limit."""
+    dense = _AFTER_SENTENCE.sub(r"\1", paragraph)
+    ends = [m.end() for m in _SENTENCE_END.finditer(dense)]
+    ends.append(len(dense))
+    start = 0
+    while start < len(dense):
+        within = bisect_right(ends, start + limit)
+        end = ends[within - 1] if within and ends[within - 1] > start else start + limit
+        yield dense[start:end]
+        start = end
 
 
 def split_paragraphs(text: str, limit: int) -> Iterator[str]:
     """Paragraphs; longer ones in pieces of whole sentences up to the limit, sentences over it cut hard."""
-    for paragraph in filter(None, map(str.strip, _BLANK_LINE.split(text))):
-        if len(paragraph) <= limit:
-            yield paragraph
-            continue
-        held = ""
-        for sentence in _SENTENCE.split(paragraph):
-            if len(sentence) > limit:
-                if held:
-                    yield held
-                whole = len(sentence) - 1 - (len(sentence) - 1) % limit
-                yield from (sentence[i : i + limit] for i in range(0, whole, limit))
-                held, sentence = "", sentence[whole:]
-            if held and len(held) + len(sentence) > limit:
-                yield held
-                held = sentence
-            else:
-                held += sentence
-        if held:
-            yield held
+    for paragraph in _BLANK_LINE.split(text):
+        whole = paragraph.strip()
+        if len(whole) > limit:
+            yield from _slices(whole, limit)
+        elif whole:
+            yield whole
 
 
 def chunk_paragraphs(text: str, c: EngineConfig = EngineConfig(), prefix: str = "", keep_prefix_only: bool = False) -> list[str]:
     """Greedy chunks of paragraphs, each beginning with the tail of the one before.
 
-    keep_prefix_only emits a chunk that holds the prefix alone when the first paragraph doesn't fit beside it.
+    A paragraph counts with a line break; one that would fill the chunk to c.chunk_size begins the next. Every chunk takes the
+    first paragraph it may take, but with keep_prefix_only a chunk holds the prefix alone if that doesn't fit beside it.
     """
+    parts = [p for p in map(str.strip, split_paragraphs(text, c.chunk_size)) if p]
+    upto = list(accumulate((len(p) + 1 for p in parts), initial=0))
     out: list[str] = []
-    now, fresh = prefix, False
-    for paragraph in map(str.strip, split_paragraphs(text, c.chunk_size)):
-        if not paragraph:
-            continue
-        if len(now) + len(paragraph) < c.chunk_size:
-            now += paragraph + "\n"
-        elif now.strip() and (fresh or keep_prefix_only):
-            done = now.strip()
-            out.append(done)
-            tail = done[-c.overlap_chars :] + "\n" if c.overlap_chars > 0 else ""
-            now = prefix + tail + paragraph + "\n"
-        else:
-            now = prefix + paragraph + "\n"
-        fresh = True
-    if now.strip() and (fresh or not prefix or keep_prefix_only):
-        out.append(now.strip())
+    head, start = prefix, 0
+    alone = keep_prefix_only and bool(prefix.strip()) and (not parts or len(prefix) + len(parts[0]) >= c.chunk_size)
+    while alone or start < len(parts):
+        # the first paragraph whose end lies beyond what is left of the size
+        stop = start if alone else bisect_left(upto, c.chunk_size + 1 - len(head) + upto[start], min(start + 2, len(upto))) - 1
+        out.append((head + "\n".join(parts[start:stop])).strip())
+        head = prefix + (out[-1][-c.overlap_chars :] + "\n" if c.overlap_chars > 0 else "")
+        start, alone = stop, False
     return out
 
 
+def sections(text: str) -> list[tuple[str, str]]:
+    """(title, section) for each heading, to the next one; what comes before the first has no title."""
+    heads = list(_HEADING.finditer(text))
+    starts = [m.start() for m in heads] + [len(text)]
+    found = [("", text[: starts[0]].strip())]
+    return found + [(m[1], text[m.start() : end].strip()) for m, end in zip(heads, starts[1:])]
+
+
 def chunk_markdown(text: str, c: EngineConfig = EngineConfig(), parity: bool = False) -> list[tuple[int, str]]:
     """(index, chunk): a chunk for each section under its title, longer sections in paragraphs; texts with less than two headings as plain.
 
     With ``parity`` text before the first heading is dropped, the index begins anew in each long section and chunks with nothing but
     a title are kept.
     """
-    lines = text.split("\n")
-    heads = [(i, m[2].strip()) for i, line in enumerate(lines) if (m := _HEADING.fullmatch(line.strip()))]
-    if len(heads) < 2:
+    before, *titled = sections(text)
+    if len(titled) < 2:
         return list(enumerate(chunk_paragraphs(text, c)))
-    out: list[tuple[int, str]] = []
-    if not parity:
-        before = "\n".join(lines[: heads[0][0]]).strip()
-        out += enumerate(chunk_paragraphs(before, c)) if before else []
-    ends = [i for i, _ in heads[1:]] + [len(lines)]
-    for (start, title), end in zip(heads, ends):
-        section = "\n".join(lines[start:end]).strip()
-        if len(section) <= c.section_chars:
-            out.append((len(out), f"# {title}\n\n{section}"))
-        else:
-            parts = chunk_paragraphs(section, c, f"# {title}\n\n", keep_prefix_only=parity)
-            base = 0 if parity else len(out)
-            out += [(base + k, part) for k, part in enumerate(parts)]
-    return out
+    groups = [] if parity else [chunk_paragraphs(before[1], c)]
+    groups += [[f"# {title}\n\n{body}"] if len(body) <= c.section_chars else chunk_paragraphs(body, c, f"# {title}\n\n", parity) for title, body in titled]
+    at = list(accumulate(map(len, groups), initial=0))
+    anew = [parity and len(body) > c.section_chars for _, body in ([] if parity else [before]) + titled]
+    return [((0 if again else base) + k, chunk) for group, base, again in zip(groups, at, anew) for k, chunk in enumerate(group)]
 
 
 def chunk_text(text: str, markdown: bool, c: EngineConfig = EngineConfig(), parity: bool = False) -> list[tuple[int, str]]:

@@ -63,7 +63,52 @@ def t1_paragraphs(spark, d):
     return p.select("row_id", F.size("p").cast("long").alias("paragraphs"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
-@query()
+# The chunkers as recursions: a piece ends at the last sentence end within 800 characters, a chunk before the paragraph that fills it.
+_WS = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _pieces_sql(units: str) -> str:
+    """Common tables up to pieces (doc_id, sec, i, pos, piece) of units (doc_id, sec, prefix, text)."""
+    return rf"""unit AS ({units}),
+  para AS (SELECT doc_id, sec, i, {_stripped("p")} AS p FROM (SELECT doc_id, sec, unnest(string_split_regex(text, '\n{_WS}*\n')) AS p, generate_subscripts(string_split_regex(text, '\n{_WS}*\n'), 1) AS i FROM unit)),
+  long AS (SELECT doc_id, sec, i, string_split(regexp_replace(p, '([。！？；!?;.]){_WS}*', '\1' || chr(1), 'g'), chr(1)) AS s FROM para WHERE length(p) > 800),
+  ended AS (SELECT doc_id, sec, i, array_to_string(s, '') AS p, list_transform(range(1, len(s) + 1), lambda k: list_sum(list_transform(s[1:k], lambda x: length(x)))::BIGINT) AS ends FROM long),
+  cut AS (SELECT doc_id, sec, i, 0::BIGINT AS pos, coalesce(list_max(list_filter(ends, lambda e: e > 0 AND e <= 800)), 800)::BIGINT AS stop FROM ended
+    UNION ALL SELECT c.doc_id, c.sec, c.i, c.stop, coalesce(list_max(list_filter(ends, lambda e: e > c.stop AND e <= c.stop + 800)), c.stop + 800)::BIGINT FROM cut c JOIN ended e USING (doc_id, sec, i) WHERE c.stop < length(e.p)),
+  pieces AS (SELECT doc_id, sec, i, 0::BIGINT AS pos, p AS piece FROM para WHERE p <> '' AND length(p) <= 800 UNION ALL SELECT c.doc_id, c.sec, c.i, c.pos, substr(e.p, c.pos + 1, c.stop - c.pos) FROM cut c JOIN ended e USING (doc_id, sec, i))"""
+
+
+def _chunks_sql(units: str) -> str:
+    """Common tables up to chunks (doc_id, sec, k, chunk) of such units."""
+    stop = "coalesce(list_min(list_filter(range({s} + 1, len(u.p)), lambda t: length({h}) + u.upto[t + 1] - u.upto[{s} + 1] + length(u.p[t + 1]) >= 800)), len(u.p))"
+    head = "(u.prefix || right(c.chunk, 400) || chr(10))"
+    text = "array_to_string(u.p[{s} + 1:{t}], chr(10))"
+    first, more = stop.format(s="0", h="u.prefix"), stop.format(s="c.stop", h=head)
+    return rf"""{_pieces_sql(units)},
+  lists AS (SELECT doc_id, sec, prefix, list({_stripped("piece")} ORDER BY i, pos) AS p FROM pieces JOIN unit USING (doc_id, sec) WHERE {_stripped("piece")} <> '' GROUP BY ALL),
+  packed AS (SELECT *, list_transform(range(0, len(p) + 1), lambda k: coalesce(list_sum(list_transform(p[1:k], lambda x: length(x) + 1)), 0)::BIGINT) AS upto FROM lists),
+  chunks AS (SELECT doc_id, sec, 0 AS k, {first} AS stop, {_stripped("u.prefix || " + text.format(s="0", t=first))} AS chunk FROM packed u
+    UNION ALL SELECT doc_id, sec, k + 1, to_stop, {_stripped("head || " + text.format(s="from_stop", t="to_stop"))} FROM
+      (SELECT u.doc_id, u.sec, u.p, c.k, c.stop AS from_stop, {more} AS to_stop, {head} AS head FROM chunks c JOIN packed u USING (doc_id, sec) WHERE c.stop < len(u.p)) u)"""
+
+
+_PLAIN = "SELECT doc_id, 0 AS sec, '' AS prefix, text FROM documents WHERE text IS NOT NULL"
+# lines, the headings among them, and for each the lines up to the next
+_SECTIONS = rf"""line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE length(text) >= 20),
+  head AS (SELECT doc_id, n, l, regexp_extract({_stripped("l")}, '^#{{1,4}}{_WS}+(.+?)(?:{_WS}+#+)?$', 1) AS title FROM line),
+  numbered AS (SELECT *, (count(*) FILTER (WHERE title <> '') OVER (PARTITION BY doc_id ORDER BY n))::BIGINT AS sec FROM head),
+  part AS (SELECT doc_id, sec, {_stripped("max(title)")} AS title, {_stripped("string_agg(l, chr(10) ORDER BY n)")} AS body FROM numbered GROUP BY doc_id, sec),
+  many AS (SELECT doc_id FROM part GROUP BY doc_id HAVING max(sec) >= 2)"""
+_TITLED = """SELECT doc_id, sec, CASE WHEN sec > 0 THEN '# ' || title || chr(10) || chr(10) ELSE '' END AS prefix, body AS text FROM part WHERE doc_id IN (FROM many) AND (sec = 0 OR length(body) > 1200)
+  UNION ALL SELECT doc_id, 0, '', text FROM documents WHERE length(text) >= 20 AND doc_id NOT IN (FROM many)"""
+
+
+@query(f"""WITH RECURSIVE {_pieces_sql(_PLAIN)}
+  SELECT d.doc_id, count(piece) AS pieces, coalesce(max(length(piece)), 0)::BIGINT AS longest FROM documents d LEFT JOIN pieces p ON p.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id""")
 def t2_split_paragraphs(spark, d):
     """Paragraphs of documents in pieces of at most 800 characters: how many, and the longest."""
 
@@ -77,14 +122,16 @@ def t2_split_paragraphs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text").filter("text is not null").mapInArrow(run, "doc_id long, pieces long, longest long")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_chunks_sql(_PLAIN + " AND length(text) >= 20")} SELECT doc_id, source, k::BIGINT AS chunk_index, chunk AS text FROM chunks JOIN documents USING (doc_id)""")
 def t3_paragraph_chunks(spark, d):
     """Chunks of documents as plain texts."""
     docs = table(spark, d, "documents").withColumns({"seq": F.col("doc_id"), "markdown": F.lit(False)})
     return chunking.chunk_documents(docs, markdown_col="markdown").withColumnRenamed("seq", "doc_id")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_SECTIONS}, {_chunks_sql(_TITLED)},
+  every AS (SELECT doc_id, sec, k, chunk FROM chunks UNION ALL SELECT doc_id, sec, 0, '# ' || title || chr(10) || chr(10) || body FROM part WHERE doc_id IN (FROM many) AND sec > 0 AND length(body) <= 1200)
+  SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY sec, k) - 1 AS chunk_index, chunk AS text FROM every JOIN documents USING (doc_id)""")
 def t4_markdown_chunks(spark, d):
     """Chunks of documents by their headings."""
     docs = table(spark, d, "documents").withColumns({"seq": F.col("doc_id"), "markdown": F.lit(True)})
