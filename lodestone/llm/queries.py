@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, table
@@ -44,8 +44,21 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    first = sp.split_oversized(table(spark, d, "my_docs")).filter("chunk_index = 0")
-    return first.select(F.col("id").alias("row_id"), F.when(F.col("stretch") > sp.LIMIT, "hard").otherwise("soft").alias("kind"))
+    """hard: the fewest unnatural cuts, as the dynamic programme finds them for pieces without overlap and outer white space, aren't none."""
+    pieces = sp.split_oversized(table(spark, d, "my_docs"), overlap=0, trimmed=True).select("id", F.col("cut").isin(*sp.UNNATURAL).alias("unnatural"))
+    return pieces.groupBy(F.col("id").alias("row_id")).agg(F.when(F.max("unnatural"), "hard").otherwise("soft").alias("kind"))
+
+
+def p6_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The texts put together from their pieces, and whether these keep limit and overlap."""
+    w = Window.partitionBy("row_id").orderBy("chunk_index")
+    before = F.lag("text").over(w)
+    x = p6_pieces(spark, d).withColumns({"fits": F.length("text") <= sp.LIMIT, "laps": before.isNull() | F.startswith("text", F.right(before, F.lit(sp.OVERLAP)))})
+    fresh = F.when(F.col("chunk_index") == 0, F.col("text")).otherwise(F.substring("text", sp.OVERLAP + 1, sp.LIMIT))
+    # the pieces of one text
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", fresh.alias("t"))))
+    whole = F.array_join(F.transform(parts, lambda p: p.t), "")
+    return x.groupBy("row_id").agg(F.md5(whole.cast("binary")).alias("digest"), F.min("fits").alias("fits"), F.min("laps").alias("laps"), (F.max("chunk_index") + 1 == F.count("*")).alias("in_order"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,25 +1,29 @@
 """Problem 6: pieces under a size limit, cut at natural boundaries.
 
-Method. Dynamic programming over boundary positions: the cost of a cut depends on the kind of its boundary, and each piece adds
-the square of its distance from an even share; pieces must keep the limit with the overlap counted in.
+Method. Dynamic programming over all boundary positions: the cost of a cut depends on the kind of its boundary, and each piece adds
+the square of its distance from an even share; pieces must keep the limit with the overlap counted in. A cut that is at no natural
+boundary costs more than all others together, so that there are as few of them as can be.
 
-Scale. Each text is on its own; only texts over the limit leave the JVM. Work for a text grows with its length: boundaries are
-thinned to the best one in each cell of a fixed grid, so that a piece has a bounded number of possible ends.
+Scale. Each text is on its own; only texts over the limit leave the JVM. Work for a text grows with its length: a piece has at most as
+many possible ends as the limit has characters. Blanks, and in runs without any all characters, are possible ends only in stretches
+that are too long for a piece.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 800, 100
 #: Cost of a cut by the kind of its boundary, and of a piece.
-PENALTY = {"paragraph": 0.0, "line": 0.4, "sentence": 0.8, "word": 4.0, "hard": 12.0, "end": 0.0}
+PENALTY = {"paragraph": 0.0, "line": 0.4, "sentence": 0.8, "word": 1e5, "hard": 1e8, "end": 0.0}
+UNNATURAL = ("word", "hard")
 PIECE, UNEVEN = 1.0, 2.0
-GRID = 16
 
 BOUNDARY = re.compile(r"(?P<p>\n[^\S\n]*\n\s*)|(?P<l>[\n\r])|(?P<s>[。！？；]|[.!?;](?=\s))")
 _BLANK = re.compile(r"\s+")
@@ -31,83 +35,92 @@ def boundaries(text: str) -> list[tuple[int, str]]:
     return [(m.end(), {"p": "paragraph", "l": "line", "s": "sentence"}[m.lastgroup]) for m in BOUNDARY.finditer(text) if m.end() < n]
 
 
-def longest_stretch(text: str) -> int:
-    """The longest stretch between neighbouring natural boundaries, without its outer whitespace."""
-    at = [0, *(p for p, _ in boundaries(text)), len(text)]
-    return max((len(text[a:b].strip()) for a, b in zip(at, at[1:])), default=0)
-
-
-def _positions(text: str, step: int) -> list[tuple[int, str]]:
-    """Possible cuts: the best boundary of each grid cell; blanks, else any place, where boundaries lie more than ``step`` apart."""
-    n = len(text)
-    best: dict[int, tuple[int, str]] = {}
-    for pos, kind in boundaries(text):
-        cell = pos // GRID
-        if cell not in best or PENALTY[kind] <= PENALTY[best[cell][1]]:
-            best[cell] = (pos, kind)
+def _positions(text: str, most: int, trimmed: bool) -> list[tuple[int, str]]:
+    """Possible cuts: natural boundaries, and in stretches over ``most`` characters blanks, in runs over it without blanks all places."""
     out: list[tuple[int, str]] = []
     before = 0
-    for pos, kind in [*best.values(), (n, "end")]:
-        at = before
-        while pos - at > step:
-            blanks = [m.end() for m in _BLANK.finditer(text, at + step // 2, at + step)]
-            at, k = (blanks[-1], "word") if blanks else (at + step, "hard")
-            if at < pos:
-                out.append((at, k))
+    for pos, kind in [*boundaries(text), (len(text), "end")]:
+        stretch = len(text[before:pos].strip()) if trimmed else pos - before
+        if stretch > most:
+            at = before
+            for m in [*_BLANK.finditer(text, before, pos), None]:
+                end = m.end() if m and m.end() < pos else pos
+                stop = m.start() if m and trimmed else end
+                if stop - at > most:
+                    out += [(p, "hard") for p in range(at + 1, stop)]
+                if end < pos:
+                    out.append((end, "word"))
+                    at = end
         out.append((pos, kind))
         before = pos
     return out
 
 
-def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """(start, end, kind of the boundary at the end) of each piece; one piece if the text is within the limit."""
+def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, trimmed: bool = False) -> list[tuple[int, int, str]]:
+    """(start, end, kind of the boundary at the end) of each piece; one piece if the text is within the limit.
+
+    trimmed: sizes are counted without the white space around a piece.
+    """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
     n = len(text)
     if n <= limit:
         return [(0, n, "end")] if n else []
     fresh = limit - overlap
-    at = [(0, "end"), *(x for x in _positions(text, max(1, fresh // 8)) if x[0] > overlap)]
+    at = [(0, "end"), *(x for x in _positions(text, fresh, trimmed) if x[0] > overlap)]
+    # where a piece begins that follows a cut, and where one ends that a cut ends
+    first, last = [max(0, p - overlap) for p, _ in at], [p for p, _ in at]
+    if trimmed:
+        blanks = [m.span() for m in _BLANK.finditer(text)] or [(n, n)]
+        opens = [a for a, _ in blanks]
+        first = [max(p, blanks[k][1]) if (k := bisect_right(opens, p) - 1) >= 0 else p for p in first]
+        last = [blanks[k][0] if (k := bisect_left(opens, p) - 1) >= 0 and blanks[k][1] >= p else p for p in last]
     share = (n - overlap) / -(-(n - overlap) // fresh)
     cost, back = [0.0] + [float("inf")] * (len(at) - 1), [0] * len(at)
+    costs, starts = np.full(len(at), np.inf), np.array([overlap, *(p + overlap for p in first[1:])], np.float64)
+    costs[0] = 0
     low = 0
     for i in range(1, len(at)):
-        end, kind = at[i]
-        while end - at[low][0] > (fresh if low else limit):
+        end = last[i]
+        while low < i - 1 and end - first[low] > limit:
             low += 1
-        own = PENALTY[kind] + PIECE
-        for j in range(low, i):
-            size = end - at[j][0] - (overlap if j == 0 else 0)
-            c = cost[j] + own + UNEVEN * ((size - share) / share) ** 2
-            if c < cost[i]:
-                cost[i], back[i] = c, j
+        own = PENALTY[at[i][1]] + PIECE
+        if i - low > 48:  # many possible starts: one vector
+            c = costs[low:i] + UNEVEN * ((end - starts[low:i] - share) / share) ** 2
+            k = int(c.argmin())
+            cost[i], back[i] = float(c[k]) + own, low + k
+        else:
+            for j in range(low, i):
+                c = cost[j] + own + UNEVEN * ((end - starts[j] - share) / share) ** 2
+                if c < cost[i]:
+                    cost[i], back[i] = c, j
+        costs[i] = cost[i]
     ends, i = [], len(at) - 1
     while i:
         ends.append(i)
         i = back[i]
     ends.reverse()
-    starts = [0, *(at[i][0] - overlap for i in ends[:-1])]
-    return [(s, at[i][0], at[i][1]) for s, i in zip(starts, ends)]
+    begins = [0, *(at[i][0] - overlap for i in ends[:-1])]
+    return [(s, at[i][0], at[i][1]) for s, i in zip(begins, ends)]
 
 
-def split_oversized(df: DataFrame, id_col: str = "row_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(id, chunk_index, start, n_chars, cut, stretch, text): the pieces of each text over the limit; others have no row.
+def split_oversized(df: DataFrame, id_col: str = "row_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, trimmed: bool = False) -> DataFrame:
+    """(id, chunk_index, start, n_chars, cut, text): the pieces of each text over the limit; others have no row.
 
-    cut is the kind of boundary a piece ends at; stretch the text's longest stretch without a boundary. Every piece after the
-    first begins with the last ``overlap`` characters of the one before it. Null and empty texts have no row, repeated ids give
+    cut is the kind of boundary a piece ends at. Every piece after the first begins with the last ``overlap`` characters of the one
+    before it; with ``trimmed`` white space around a piece doesn't count for the limit. Null and empty texts have no row, repeated ids give
     their pieces each, an empty table gives none; other columns are ignored.
     """
-    schema = "id long, chunk_index long, start long, n_chars int, cut string, stretch int, text string"
+    schema = "id long, chunk_index long, start long, n_chars int, cut string, text string"
     names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
 
     def run(batches):
         for batch in batches:
             cols: list[list] = [[] for _ in names]
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                stretch = longest_stretch(text)
-                for k, (a, b, kind) in enumerate(cuts(text, limit, overlap)):
-                    for c, x in zip(cols, (i, k, a, b - a, kind, stretch, text[a:b])):
+                for k, (a, b, kind) in enumerate(cuts(text, limit, overlap, trimmed)):
+                    for c, x in zip(cols, (i, k, a, b - a, kind, text[a:b])):
                         c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 

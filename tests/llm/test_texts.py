@@ -1,6 +1,7 @@
 """Splitting, look-alikes, languages and scanned pages."""
 
 import random
+import re
 
 import pytest
 
@@ -28,13 +29,47 @@ def test_cuts_prefer_natural_boundaries():
     assert {k for _, _, k in sp.cuts(text)} <= {"paragraph", "sentence", "end"}
     assert {k for _, _, k in sp.cuts("word " * 500)} == {"word", "end"}
     assert {k for _, _, k in sp.cuts("x" * 2000)} == {"hard", "end"}
+    assert all(b - a <= 800 for a, b, _ in sp.cuts(" " * 3000 + "x" + " " * 900))
     with pytest.raises(ValueError):
         sp.cuts("x", 10, 10)
 
 
-def test_stretches():
-    assert sp.longest_stretch("a. b!  c\nd。ee") == 2
-    assert sp.longest_stretch("3.14 x.y") == 8 and sp.longest_stretch("") == 0 and sp.longest_stretch("  \n ") == 0
+def test_kinds_equal_the_longest_stretch():
+    rng = random.Random(8)
+    marks = ["。", ". ", ".", "! ", "\n", "\r", " ", "  ", "；", "? ", "\n \n", "\t"]
+    seen = set()
+    for k in range(600):
+        text = "".join(rng.choice("ab") * rng.choice([1, 9, 20, 37, 41]) + rng.choice(marks) for _ in range(rng.randrange(1, 30)))
+        at = [0, *(p for p, _ in sp.boundaries(text)), len(text)]
+        hard = max(len(text[a:b].strip()) for a, b in zip(at, at[1:])) > 40
+        kinds = {kind for _, _, kind in sp.cuts(text, 40, 0, trimmed=True)}
+        assert len(text) <= 40 or hard == bool(kinds & set(sp.UNNATURAL)), text
+        assert all(len(text[a:b].strip()) <= 40 for a, b, _ in sp.cuts(text, 40, 0, trimmed=True))
+        seen.add(hard)
+    assert seen == {True, False}
+
+
+def test_cuts_have_the_least_cost():
+    rng = random.Random(9)
+
+    def cost(text, ends, kinds, limit, overlap):
+        share = (len(text) - overlap) / -(-(len(text) - overlap) // (limit - overlap))
+        begins = [overlap, *ends[:-1]]
+        return sum(sp.PENALTY[kinds.get(e, "hard")] + sp.PIECE + sp.UNEVEN * ((e - b - share) / share) ** 2 for b, e in zip(begins, ends))
+
+    for _ in range(60):
+        text = "".join(rng.choice("ab") * rng.choice([1, 2, 5]) + rng.choice(["。", ". ", " ", "\n", ""]) for _ in range(9))[:34]
+        limit, overlap = 12, 3
+        kinds = {p: "word" for p in (m.end() for m in re.finditer(r"\s+", text))} | dict(sp.boundaries(text)) | {len(text): "end"}
+        best = {overlap: (0.0, [])}  # all ways, from all places
+        for e in range(overlap + 1, len(text) + 1):
+            ways = [(cost(text, [*v[1], e], kinds, limit, overlap), [*v[1], e]) for s, v in best.items() if e - s <= limit - overlap and s < e]
+            if ways:
+                best[e] = min(ways)
+        got = [e for _, e, _ in sp.cuts(text, limit, overlap)]
+        if len(text) > limit:
+            unnatural = lambda ends: sum(kinds.get(e, "hard") in sp.UNNATURAL for e in ends)
+            assert unnatural(got) == unnatural(best[len(text)][1])
 
 
 def test_split_table(spark):
