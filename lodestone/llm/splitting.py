@@ -76,25 +76,27 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, trimmed: bool =
         first = [max(p, blanks[k][1]) if (k := bisect_right(opens, p) - 1) >= 0 else p for p in first]
         last = [blanks[k][0] if (k := bisect_left(opens, p) - 1) >= 0 and blanks[k][1] >= p else p for p in last]
     share = (n - overlap) / -(-(n - overlap) // fresh)
-    cost, back = [0.0] + [float("inf")] * (len(at) - 1), [0] * len(at)
-    costs, starts = np.full(len(at), np.inf), np.array([overlap, *(p + overlap for p in first[1:])], np.float64)
+    # (end - start - share) ** 2 * UNEVEN / share ** 2 is the square of a difference of these
+    scale = UNEVEN**0.5 / share
+    opened, closed = np.array([overlap, *(p + overlap for p in first[1:])], np.float64) * scale + UNEVEN**0.5, (np.array(last) * scale).tolist()
+    begun = opened.tolist()
+    costs, cost, back = np.full(len(at), np.inf), [0.0] + [float("inf")] * (len(at) - 1), [0] * len(at)
     costs[0] = 0
     low = 0
     for i in range(1, len(at)):
         end = last[i]
         while low < i - 1 and end - first[low] > limit:
             low += 1
-        own = PENALTY[at[i][1]] + PIECE
-        if i - low > 48:  # many possible starts: one vector
-            c = costs[low:i] + UNEVEN * ((end - starts[low:i] - share) / share) ** 2
-            k = int(c.argmin())
-            cost[i], back[i] = float(c[k]) + own, low + k
+        x = closed[i]
+        if i - low > 12:  # many possible starts: one vector
+            d = opened[low:i] - x
+            d *= d
+            d += costs[low:i]
+            k = int(d.argmin())
+            least, back[i] = float(d[k]), low + k
         else:
-            for j in range(low, i):
-                c = cost[j] + own + UNEVEN * ((end - starts[j] - share) / share) ** 2
-                if c < cost[i]:
-                    cost[i], back[i] = c, j
-        costs[i] = cost[i]
+            least, back[i] = min([(cost[j] + (x - begun[j]) ** 2, j) for j in range(low, i)])
+        cost[i] = costs[i] = least + PENALTY[at[i][1]] + PIECE
     ends, i = [], len(at) - 1
     while i:
         ends.append(i)
