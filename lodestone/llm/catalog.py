@@ -7,7 +7,7 @@ from .sql import SQL
 
 
 def queries() -> dict:
-    return {k: v for k, v in vars(q).items() if k[0] == "p" and k[1].isdigit() and callable(v)}
+    return {k: v for k, v in vars(q).items() if k[0] == "p" and k[1].isdigit() and "_" in k and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:

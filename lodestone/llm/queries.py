@@ -15,6 +15,7 @@ from . import packing as pk
 from . import scans as sc
 from . import splitting as sp
 from . import vectors as ve
+from .tokens import token_counts
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,6 +112,22 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pk.containers(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def p7_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Of each text: whether its pieces make it up once, whether it is split only if it has to be, and whether its containers keep the capacity."""
+    docs = table(spark, d, "documents")
+    placed = pk.containers(docs)
+    load = placed.groupBy("container").agg(F.sum("tokens").alias("load"))
+    own = token_counts(docs, "doc_id", "text").withColumnRenamed("tokens", "own")
+    x = placed.join(load, "container").groupBy("id").agg(
+        F.sum("tokens").alias("t"), F.count("*").alias("n"), F.max("piece").alias("last"), F.max(F.col("start") + F.col("tokens")).alias("end"), F.max("load").alias("load")
+    )
+    c = pk.Fill.capacity
+    return x.join(own, "id").select(
+        F.col("id").alias("doc_id"), ((F.col("t") == F.col("own")) & (F.col("end") == F.col("own")) & (F.col("last") == F.col("n") - 1)).alias("whole"),
+        (F.col("n") == F.ceil(F.col("own") / c)).alias("split_as_needed"), (F.col("load") <= c).alias("fits"),
+    )
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return pk.fill_report(pk.containers(table(spark, d, "documents")))
 

@@ -14,6 +14,8 @@ SQL: dict[str, str] = {
   SELECT row_id, CASE WHEN list_max(list_transform(p, lambda s: length(regexp_replace(s, '^{_BLANK}+|{_BLANK}+$', '', 'g')))) > 800 THEN 'hard' ELSE 'soft' END AS kind FROM x""",
     # what any right splitting gives
     "p6_rebuilt": "SELECT row_id, md5(text) AS digest, true AS fits, true AS laps, true AS in_order FROM my_docs WHERE length(text) > 800",
+    # what any right placing gives: each text with a character has a token
+    "p7_placed": "SELECT doc_id, true AS whole, true AS split_as_needed, true AS fits FROM documents WHERE text <> ''",
     # the report's counts from the tables, its bounds as they must be
     "p8_bounds": r"""WITH t AS (SELECT nullif(lower(trim(source)), '') AS source, sum(target_share) AS target_share, max(max_repeats) AS max_repeats FROM mix_targets WHERE target_share > 0 GROUP BY 1),
   d AS (SELECT nullif(lower(trim(source)), '') AS source, count(*) AS docs FROM documents WHERE text <> '' GROUP BY 1)

@@ -1,5 +1,6 @@
 """Vectors, packing and mixing."""
 
+import itertools
 import random
 
 import numpy as np
@@ -87,6 +88,34 @@ def test_bin_completion_beats_best_fit():
     assert want <= pack <= want + 1 and pack < fit
 
 
+def test_completions_are_the_undominated_sets():
+    rng = random.Random(3)
+    for _ in range(300):
+        items = [rng.randint(2, 14) for _ in range(rng.randint(0, 8))]
+        space = rng.randint(1, 30)
+        left = {k: items.count(k) for k in set(items)}
+        got = list(pk.completions(sorted(left), left, space))
+        sets = {tuple(sorted(c, reverse=True)) for n in range(len(items) + 1) for c in itertools.combinations(items, n) if sum(c) <= space}
+
+        def worse(c):  # some of its items give way to one that is left out
+            free = list(items)
+            for x in c:
+                free.remove(x)
+            parts = [p for n in range(1, len(c) + 1) for p in itertools.combinations(c, n)]
+            return any(sum(p) < x <= sum(p) + space - sum(c) or (sum(p) == x and len(p) > 1) for p in parts for x in free) or any(x <= space - sum(c) for x in free)
+
+        want = {c for c in sets if not worse(c)}
+        assert {tuple(c) for _, c in got} == want and len(got) == len(want)
+        assert [w for w, _ in got] == sorted(w for w, _ in got) and all(w == space - sum(c) for w, c in got)
+
+
+def test_fewest_containers_without_a_bound():
+    rng = random.Random(1)
+    for _ in range(100):
+        sizes = [rng.randint(10, 70) for _ in range(rng.randint(3, 10))]
+        assert len(pk.pack(sizes, pk.Fill(capacity=100, nodes=None))) == fewest_bins(sizes, 100)
+
+
 def test_containers(spark):
     rows = [(1, "word " * 5000), (2, None), (3, ""), *((i, "a b c " * (i % 40 + 1)) for i in range(4, 200)), (4, "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tokens", F.lit(-1))
