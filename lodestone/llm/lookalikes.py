@@ -1,9 +1,11 @@
 """Problem 9: one consistent form for texts that look the same.
 
 Method. The clean words of the collection (one script, composed accents, nothing invisible) are the vocabulary. Each other word
-that could be a disguised clean word runs through a trie of the vocabulary as a weighted edit automaton in which look-alike
-letters, width forms and invisible characters cost nothing and anything else is too dear; the vocabulary word it reaches is its
-canonical spelling. What reaches none, and all that is no word, is normalised by table.
+that could be a disguised clean word runs through a trie of the vocabulary as a weighted edit automaton: to take a look-alike letter
+or width form for another and to leave out an invisible character costs nothing; to leave out, put in or replace anything else costs
+one, within a budget of edits. The vocabulary word that is reached at the least cost, of these the most frequent, is its
+canonical spelling. The budget is 0 by default, as other words must stay different. What reaches none, and all that is no word, is
+normalised by table.
 
 Scale. One scan of the texts emits distinct words per task, the disguised words by document and, for texts without any, the
 finished form. Words and tries are partitioned by the first letters' shapes; only texts that hold disguised words are joined.
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 
 # Letters and signs of one shape, by script.
-CYRILLIC = dict(zip("асеорхуіјѕԁԛԝһАВЕКМНОРСТХУІЈЅ", "aceopxyijsdqwhABEKMHOPCTXYIJS"))
-GREEK = dict(zip("οϲϳνΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ocjvABEZHIKMNOPTYX"))
+CYRILLIC = dict(zip("асеорхуіјѕԁԛԝһѵӏАВЕКМНОРСТХУІЈЅԌԚԜӀҮ", "aceopxyijsdqwhvlABEKMHOPCTXYIJSGQWIY"))
+GREEK = dict(zip("οϲϳνΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ocjvABEZHIKMNOPTYXCJ"))
 SIGNS = {"‐": "-", "‑": "-", "−": "-", "∕": "/", "⁄": "/", "∶": ":", "∼": "~", "∣": "|", "ǃ": "!", "∙": "·", "⋅": "·", " ": "\n", "\u0085": "\n"}
 IGNORABLE = "­͏؜᠎​-‏‪-‮⁠-⁤⁪-⁯︀-️﻿"
 NO_WORDS = ((0x2E80, 0xA4CF), (0xAC00, 0xD7FF), (0xF900, 0xFAFF), (0xFF65, 0xFFDC))  # scripts written without word breaks
@@ -71,7 +73,8 @@ _SHAPE = {k: "".join({**CYRILLIC, **GREEK, **SIGNS}.get(x, x) for x in v) for k,
 _TABLE = str.maketrans({**_SHAPE, **{chr(cp): None for cp in _IGNORED}})
 _words = set(map(chr, _WORD_CPS))
 #: the part of the table for what is no word
-_REST = str.maketrans({k: v for k, v in _SHAPE.items() if k not in _words})
+_REST = {k: v for k, v in _SHAPE.items() if k not in _words}
+_in_rest = re.compile(f"[{_ranges(sorted(map(ord, _REST)))}]")
 _TWINS = {"C": set(CYRILLIC.values()), "G": set(GREEK.values())}
 
 
@@ -106,8 +109,14 @@ def classify(word: str) -> int:
     return TABLE
 
 
+@lru_cache(None)
+def _peers(shape: str) -> tuple[str, ...]:
+    """The decomposed characters of one shape."""
+    return tuple({shape, *(c for c, x in _SHAPE.items() if x == shape)})
+
+
 class Trie:
-    """Vocabulary words by decomposed characters; ``spell`` gives the word at no cost from a disguised one."""
+    """Vocabulary words by decomposed characters; ``spell`` gives the word that a disguised one stands for."""
 
     def __init__(self):
         self.root: dict = {}
@@ -121,25 +130,52 @@ class Trie:
             node[""] = (word, n)
 
     def spell(self, word: str, most: int = 0) -> str | None:
-        """The automaton: a state is a trie node with its cost so far; states over ``most`` die out."""
-        states: list[tuple[dict, int]] = [(self.root, 0)]
-        for c in ud.normalize("NFD", _ignorable.sub("", word)):
-            for shape in _SHAPE.get(c, c):  # a ligature is several letters
+        """The automaton: a state is a trie node with its least cost so far; states over ``most`` edits die out.
+
+        Of the words reached the cheapest is taken, then the most frequent, then the first by its characters.
+        """
+        states = _widened({id(self.root): (self.root, 0)}, most)
+        for c in ud.normalize("NFD", word):
+            invisible = _ignorable.match(c) is not None
+            for shape in (c,) if invisible else _SHAPE.get(c, c):  # a ligature is several letters
                 after: dict[int, tuple[dict, int]] = {}
-                for node, cost in states:
-                    for edge, child in node.items():
-                        if edge == "":
-                            continue
-                        to = cost + (edge != shape and _SHAPE.get(edge, edge) != shape)
-                        if to <= most and (id(child) not in after or after[id(child)][1] > to):
-                            after[id(child)] = (child, to)
-                states = list(after.values())
+                for node, cost in states.values():
+                    if invisible or cost < most:  # left out
+                        _reach(after, node, cost + (not invisible))
+                    if invisible:
+                        continue
+                    for edge in _peers(shape):
+                        if edge in node:
+                            _reach(after, node[edge], cost)
+                    if cost < most:  # replaced
+                        for edge, child in node.items():
+                            if edge:
+                                _reach(after, child, cost + 1)
+                states = _widened(after, most)
                 if not states:
                     return None
-        ends = [(cost, -node[""][1], node[""][0]) for node, cost in states if "" in node]
+        ends = [(cost, -node[""][1], node[""][0]) for node, cost in states.values() if "" in node]
         return min(ends)[2] if ends else None
 
 
+def _reach(states: dict[int, tuple[dict, int]], node: dict, cost: int) -> None:
+    if id(node) not in states or states[id(node)][1] > cost:
+        states[id(node)] = (node, cost)
+
+
+def _widened(states: dict[int, tuple[dict, int]], most: int) -> dict[int, tuple[dict, int]]:
+    """The states and those that letters put in lead to."""
+    todo = [x for x in states.values() if x[1] < most]
+    while todo:
+        node, cost = todo.pop()
+        for edge, child in node.items():
+            if edge and (id(child) not in states or states[id(child)][1] > cost + 1):
+                states[id(child)] = (child, cost + 1)
+                if cost + 1 < most:
+                    todo.append((child, cost + 1))
+    return states
+
+
 def _shape_key(word: str) -> str:
     return ud.normalize("NFD", word).translate(_TABLE)[:3]
 
@@ -156,18 +192,21 @@ def _kind(word: str) -> int:
     return k
 
 
+def _rest(text: str) -> str:
+    """What is no word by table; words of a text as they are."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
+    return text if text.isascii() else _in_rest.sub(lambda m: _REST[m[0]], text)
+
+
 def rewrite(text: str, spelling: dict[str, str] | None = None) -> str:
     """The canonical form of a text, given the spellings of its disguised words."""
-    text = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
-    if text.isascii():
-        return text
     spelling = spelling or {}
 
     def one(m):
         w = m[0]
         return w if _kind(w) == CLEAN else spelling.get(w) or by_table(w)
 
-    return WORD.sub(one, text).translate(_REST)
+    return _rest(text if text.isascii() else WORD.sub(one, text))
 
 
 def _digest(text: str) -> bytes:
@@ -190,6 +229,7 @@ def _scan(df: DataFrame, keep_text: bool) -> DataFrame:
         for batch in batches:
             out = []
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                odd: list[str] = []
                 if t is None or not t.strip():
                     continue
                 raw = _digest(t)
@@ -197,14 +237,15 @@ def _scan(df: DataFrame, keep_text: bool) -> DataFrame:
                     words.update(_ASCII_WORD.findall(t))
                     hidden = ()
                 else:
-                    found = WORD.findall(t)
+                    found = Counter(WORD.findall(t))
                     words.update(found)
-                    hidden = [w for w in set(found) if _kind(w) == DISGUISED]
+                    odd = [w for w in found if _kind(w) != CLEAN]
+                    hidden = [w for w in odd if _kind(w) == DISGUISED]
                 if hidden:
                     out.extend((1, w, _shape_key(w), None, i, None, None, None) for w in hidden)
                     out.append((3, None, None, None, i, raw, None, t))
                 else:
-                    form = rewrite(t)
+                    form = rewrite(t) if odd else _rest(t)
                     out.append((2, None, None, None, i, raw, _digest(form), form if keep_text else None))
             yield rows(out)
             if len(words) > 1_000_000:
@@ -215,11 +256,12 @@ def _scan(df: DataFrame, keep_text: bool) -> DataFrame:
     return df.mapInArrow(run, _SCAN)
 
 
-def _spellings(scan: DataFrame, hidden: DataFrame, scratch: Scratch) -> DataFrame:
+def _spellings(scan: DataFrame, hidden: DataFrame, scratch: Scratch, most: int) -> DataFrame:
     """(word, spelling): disguised words that reach a vocabulary word."""
     spark = scan.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = scratch.save(hidden.select("word", "shape").distinct(), "disguised")
+    # tries of about as many words, whatever the size of the vocabulary; the words of one beginning stay together
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), asked.count() // 2_000)
     vocab = scan.filter("kind = 0").select("word", "shape", "n").join(asked.select("shape").distinct(), "shape", "left_semi").groupBy("word", "shape").agg(F.sum("n").alias("n"))
     both = vocab.select("word", "shape", "n").unionByName(asked.select("word", "shape", F.lit(0).cast("long").alias("n")))
 
@@ -229,22 +271,23 @@ def _spellings(scan: DataFrame, hidden: DataFrame, scratch: Scratch) -> DataFram
         for w, n in zip(known.word, known.n):
             trie.add(w, n)
         words = sorted(pdf[pdf.n == 0].word)
-        return pd.DataFrame({"word": words, "spelling": [trie.spell(w) for w in words]}, dtype=object)
+        return pd.DataFrame({"word": words, "spelling": [trie.spell(w, most) for w in words]}, dtype=object)
 
     # the first letters' shapes are the same for a disguised word and its clean spelling
     return both.groupBy(F.pmod(F.xxhash64("shape"), F.lit(buckets)).alias("b")).applyInPandas(resolve, "word string, spelling string").filter("spelling is not null")
 
 
-def canonical(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def canonical(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, most: int = 0) -> DataFrame:
     """(id, raw, form[, text]): digests of the text as stored and of its canonical form, and that form.
 
-    Null and blank texts have no row. Ids may repeat, with one row each; other columns are ignored. An empty table gives no rows.
+    most: edits within which a disguised word is taken for one of the vocabulary, behind its first three letters. Null and blank
+    texts have no row. Ids may repeat, with one row each; other columns are ignored. An empty table gives no rows.
     """
     scratch = Scratch(df.sparkSession, "p9")
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scan = scratch.save(_scan(src, keep_text), "scan")
     hidden = scan.filter("kind = 1").select("id", "word", "shape")
-    spelled = scratch.save(_spellings(scan, hidden, scratch), "spellings")
+    spelled = scratch.save(_spellings(scan, hidden, scratch, most), "spellings")
     maps = hidden.join(spelled, "word").groupBy("id").agg(F.collect_set(F.struct("word", "spelling")).alias("m"))
     waiting = scan.filter("kind = 3").select("id", "raw", "text").join(maps, "id", "left")
 

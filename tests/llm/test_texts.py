@@ -203,3 +203,26 @@ def test_short_misreads_go_by_context(spark):
 def test_confusions():
     assert sc.confusions("rnanuel", "manuel") == 1 and sc.confusions("r6su1tats", "résultats") == 2
     assert sc.confusions("manual", "manuel") is None and sc.confusions("same", "same") == 0
+
+
+def test_automaton_equals_edit_distance():
+    rng = random.Random(12)
+    vocabulary = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 5))): rng.randint(1, 9) for _ in range(60)}
+    trie = la.Trie()
+    for w, n in vocabulary.items():
+        trie.add(w, n)
+
+    def distance(a, b):
+        x, y = (la.ud.normalize("NFD", la._ignorable.sub("", t)) for t in (a, b))
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, last = [i], row
+            for j, e in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (la._SHAPE.get(c, c) != la._SHAPE.get(e, e))))
+        return row[-1]
+
+    for _ in range(300):
+        word = "".join(rng.choice(["a", "а", "b", "с", "c", "é", "​", "d"]) for _ in range(rng.randint(1, 6)))
+        for most in (0, 1, 2):
+            near = [(d, -n, w) for w, n in vocabulary.items() if (d := distance(word, w)) <= most]
+            assert trie.spell(word, most) == (min(near)[2] if near else None), (word, most)
