@@ -24,14 +24,17 @@ from .sampling import bounded_sample
 LANGS = ("en", "zh", "de", "fr", "es", "pt", "ru")
 L = len(LANGS)
 HASHED = 1 << 16
-FEATURES = 20
 
-#: Page labels, links, codes, words, sentence ends, and line breaks that end a sentence or heading.
+#: Page labels, links, data (what holds a digit between blanks), codes, words, sentence ends, and line breaks that end a sentence or heading.
 TOKEN = re.compile(
-    r"^(?:Page|Seite|Página|Стр\.) *\d.*$|(?:https?://|www\.)[^\s，。；！？）]+|[A-Z]{1,4}-\d+|[一-鿿㐀-䶿]+|[^\W\d_一-鿿㐀-䶿]+(?:['’][^\W\d_一-鿿]+)?"
+    r"^(?:Page|Seite|Página|Стр\.) *\d.*$|(?:https?://|www\.)[^\s，。；！？）]+|(?<![\w!-~])[!-/:-~A-Za-z]*\d[!-~]*?(?=[)\].,:;!?]*(?![!-~]))|[A-Z]{1,4}-\d+|[一-鿿㐀-䶿]{1,3}|[^\W\d_一-鿿㐀-䶿]+(?:['’][^\W\d_一-鿿]+)?"
     r"|[。！？；]|[.!?;](?=\s|\Z)|\n(?=\s*[A-ZÀ-ÖØ-ÞА-ЯЁ#>|*\-\n])|(?<![一-鿿，、])\n(?=[一-鿿])",
     re.M,
 )
+#: numbers of pages before the first
+_ROMAN = re.compile(r"(?=[ivxl])(?:xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
+#: languages that are not written in Latin letters
+OTHER_SCRIPTS = (LANGS.index("zh"), LANGS.index("ru"))
 _END = -1  # a token that ends a sentence
 _SKIP = -2
 HAN = 0
@@ -50,7 +53,7 @@ class Fit:
 
 
 def features(word: str, lexicon: dict[str, tuple[int, int]]) -> list[int]:
-    """Hashed features of a word; number 0 is left free for padding."""
+    """Hashed features of a word: shape, script, affixes, the word, its entry of the lexicon and all its trigrams."""
     low = word.lower()
     first = word[0]
     shape = ("C" if word.isupper() and len(word) > 1 else "c" if first.isupper() else "l") + ("a" if word.isascii() else "u")
@@ -59,12 +62,12 @@ def features(word: str, lexicon: dict[str, tuple[int, int]]) -> list[int]:
     known = lexicon.get(low)
     names.append(f"x{known[0]}{known[1]}" if known else "x?" + shape)
     padded = f"^{low}$"
-    names += [f"t{padded[i : i + 3]}" for i in range(min(len(padded) - 2, FEATURES - len(names)))]
-    return [1 + zlib.crc32(n.encode()) % (HASHED - 1) for n in names[:FEATURES]]
+    names += [f"t{padded[i : i + 3]}" for i in range(len(padded) - 2)]
+    return [zlib.crc32(n.encode()) % HASHED for n in names]
 
 
 class Words(dict):
-    """Numbers of words, with their features; all runs of Han characters share the number 0."""
+    """Numbers of words, with their features; Han characters, three to a word, share the number 0."""
 
     def __init__(self, lexicon: dict[str, tuple[int, int]], weights: np.ndarray | None = None, most: int = 400_000):
         super().__init__()
@@ -77,16 +80,18 @@ class Words(dict):
     def add(self, word: str) -> int:
         f = features(word, self.lexicon)
         self.single.append(len(word) == 1)
-        self.rows.append(f + [0] * (FEATURES - len(f)) if self.weights is None else self.weights[f].sum(0))
+        self.rows.append(f if self.weights is None else self.weights[f].sum(0))
         return len(self.rows) - 1
 
     def __missing__(self, token: str) -> int:
         c = token[0]
         if "㐀" <= c <= "鿿":
             return HAN
+        if "://" in token or token.startswith("www.") or any(map(str.isdigit, token)):
+            return _SKIP
         if not c.isalpha():
             return _END
-        if "://" in token or token.startswith("www.") or token[-1].isdigit():
+        if _ROMAN.fullmatch(token):
             return _SKIP
         n = self[token] = self.add(token)
         return n
@@ -194,11 +199,14 @@ def fit(sample: list[tuple[str, str]], p: Fit = Fit()) -> Model:
     lexicon = {w: (int(best[i]), int(strength[i] * 4)) for w, i in lower.items() if counts[i].sum() >= p.seen}
 
     words = Words(lexicon)
-    feats = []
     remap = np.zeros(len(names), np.int64)
     for w, i in plain.items():
         remap[i] = words[w]
-    feats = np.array(words.rows)
+    size = np.array([len(r) for r in words.rows])
+    begin, feats = np.concatenate([[0], np.cumsum(size)]), np.concatenate([np.array(r) for r in words.rows])
+    foreign = np.zeros(len(words.rows), bool)
+    for x, i in words.items():
+        foreign[i] = len(x) > 2 and not ("Ѐ" <= x[0] <= "ӿ")
     w, grad2 = np.zeros((HASHED, L)), np.full((HASHED, L), 1e-2)
     inside, across = np.eye(L) * 2, np.eye(L)
     t2 = [np.full((L, L), 1.0), np.full((L, L), 1.0)]
@@ -213,15 +221,18 @@ def fit(sample: list[tuple[str, str]], p: Fit = Fit()) -> Model:
             for r, i in enumerate(pick):
                 gold[r, : len(word_labels[i])] = word_labels[i]
             kinds, where = np.unique(ids, return_inverse=True)
-            scores = w[feats[kinds]].sum(1)[where.reshape(ids.shape)]
+            flat = feats[np.concatenate([np.arange(begin[k], begin[k + 1]) for k in kinds])]
+            own = size[kinds]
+            scores = np.add.reduceat(w[flat], np.cumsum(own) - own)[where.reshape(ids.shape)]
             post, expected = forward_backward(scores, new, mask, inside, across, pairs=True)
             g = -post
             np.put_along_axis(g, gold[..., None], np.take_along_axis(g, gold[..., None], 2) + 1, 2)
+            # names and terms in Latin letters say nothing of Chinese or Russian, though they stand in such sentences; units are everywhere
+            g[foreign[ids] & np.isin(gold, OTHER_SCRIPTS)] = 0
             per_kind = np.zeros((len(kinds), L))
             np.add.at(per_kind, where.reshape(ids.shape)[mask], g[mask])
             per_feature = np.zeros((HASHED, L))
-            np.add.at(per_feature, feats[kinds].ravel(), np.repeat(per_kind, FEATURES, 0))
-            per_feature[0] = 0
+            np.add.at(per_feature, flat, np.repeat(per_kind, own, 0))
             touched = np.flatnonzero(np.abs(per_feature).sum(1))
             d = per_feature[touched] - p.decay * w[touched]
             grad2[touched] += d * d
@@ -244,17 +255,16 @@ class Tagger:
 
     def _fresh(self):
         self.words = Words(self.model.lexicon, self.model.weights)
-        self.scores, self.sure = np.zeros((0, L)), np.zeros(0)
+        self.scores, self.single = np.zeros((0, L)), np.zeros(0, bool)
 
     def tag(self, texts: list[str | None], group: int = 256, cells: int = 400_000):
-        """For each text its segments as (lang, confidence, words); a sentence counts if a word in it speaks for a language."""
+        """For each text its segments as (lang, confidence, words)."""
         if len(self.words) > self.words.most:
             self._fresh()
         seqs = [sequence(t or "", self.words) for t in texts]
         if len(self.scores) < len(self.words.rows):
             self.scores = np.concatenate([self.scores, np.array(self.words.rows[len(self.scores) :], np.float64).reshape(-1, L)])
-            x = np.exp(self.scores - self.scores.max(1, keepdims=True))
-            self.sure = np.where(self.words.single, 0.0, (x / x.sum(1, keepdims=True)).max(1))
+            self.single = np.array(self.words.single)
         out: list[list[tuple[str, float, int]]] = [[] for _ in texts]
         order = sorted((i for i in range(len(texts)) if len(seqs[i][0])), key=lambda i: len(seqs[i][0]))
         at = 0
@@ -266,38 +276,26 @@ class Tagger:
             at += n
             ids, new, mask = _pad([seqs[i] for i in pick])
             post = forward_backward(self.scores[ids], new, mask, self.model.inside, self.model.across)
-            sure = self.sure[ids]
             for r, i in enumerate(pick):
                 k = len(seqs[i][0])
-                out[i] = self._segments(seqs[i][0], seqs[i][1], post[r, :k], sure[r, :k])
+                out[i] = self._segments(seqs[i][0], seqs[i][1], post[r, :k])
         return out
 
-    def _segments(self, ids, sentence, post, sure):
+    def _segments(self, ids, sentence, post):
+        """Stretches of sentences by the sums of their words' probabilities; a sentence of single letters only, such as units, is none, unless all are."""
         place = sentence - sentence[0]
         n = place[-1] + 1
-        weight = np.where(ids == HAN, 4.0, 1.0) * sure
-        total = np.zeros((n, L))
-        for j in range(L):
-            total[:, j] = np.bincount(place, post[:, j] * weight, n)
-        speaks = np.bincount(place, (sure > 0.75) * np.where(ids == HAN, 2, 1), n)
-        han = np.bincount(place, ids == HAN, n)
+        total = np.stack([np.bincount(place, post[:, j], n) for j in range(L)], 1)
         words = np.bincount(place, minlength=n)
-        share = total.max(1) / np.maximum(total.sum(1), 1e-9)
-        # units, codes and page numbers are no sentence; a text that has nothing else is what its words say
-        keep = (speaks >= np.where(words > 3, 2, 1)) & ((words > 1) | (han > 0)) & ((words > 3) | (share >= 0.8) | (han > 0))
-        if not keep.any():
-            keep = words > 0
+        real = np.bincount(place, ~self.single[ids], n) > 0
         out: list[list] = []
-        for s in np.flatnonzero(keep):
+        for s in np.flatnonzero(real if real.any() else words):
             lang = int(total[s].argmax())
-            share = float(total[s, lang])
-            if out and out[-1][0] == lang:
-                out[-1][1] += share
-                out[-1][2] += float(total[s].sum())
-                out[-1][3] += int(words[s])
-            else:
-                out.append([lang, share, float(total[s].sum()), int(words[s])])
-        return [(LANGS[g], a / b if b else 0.0, c) for g, a, b, c in out]
+            if not out or out[-1][0] != lang:
+                out.append([lang, 0.0, 0])
+            out[-1][1] += float(total[s, lang])
+            out[-1][2] += int(words[s])
+        return [(LANGS[g], a / c, c) for g, a, c in out]
 
 
 def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, p: Fit) -> list[tuple[str, str]]:
