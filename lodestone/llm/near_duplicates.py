@@ -1,15 +1,16 @@
 """Problem 1: near-duplicate records, by bottom-k sketches.
 
-Method. One hash function orders all shingles; a record's sketch is its k lowest hashes. An inverted list for each retained value
-gives the records that overlap; overlaps are counted by pair, a sketch of the union estimates the likeness of the pairs that
-overlap enough, and the exact Jaccard value of the whole sets decides.
-
-Scale. Records with equal shingle sets are one class and only its representative is compared. A value retained by more than
-``hot`` representatives isn't used as it is: its list is split by the following shingle (so that twice the words must agree),
-and once more by the next two if a split list is still long. What is then still on a list of more than ``hottest`` is
-boilerplate. Records of whose sketch it is at most a fifth do without these lists: with any record that is alike they share enough
-besides. The others are sketched again without the boilerplate, whose share of a likeness is too small to make up for the rest;
-only those that hold little else stay on the long lists. Lists are joined, never collected.
+Method. One hash function orders all shingles; a record's sketch is its lowest hashes. An inverted list for each of the ``keep``
+lowest gives the records that overlap; overlaps are counted by pair. The sketch of the union, put together from the two records'
+stored sketches of ``estimate`` values, estimates the likeness of the pairs that overlap enough; only for those that are left are
+texts read, and the exact Jaccard value of the whole sets decides.
+
+Scale. Records with equal shingle sets are one class and only its representative is compared. A value retained by more than ``hot``
+representatives is looked up together with the shingle after it. Where that list is longer than ``hotter`` as well, the value is
+common. A record of whose retained values at most a quarter are common does without their lists: with any record that is alike it
+shares enough of the others, of which fewer are asked for then. A record with more is sketched again without common values. If so
+much of it is common that this alone may make two records alike, it stays on the long lists as well: such records are a family whose
+pairs are the result. No list is cut and nothing depends on the size of the table; lists are joined, never collected.
 """
 
 from __future__ import annotations
@@ -19,23 +20,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, Scratch, broadcast_if_small
+from ..session import Scratch, broadcast_if_small
 from .shingles import HASH_BITS, Block, blocks, mix
 
 
 @dataclass(frozen=True)
 class Likeness:
-    """width: tokens in a shingle; threshold: least Jaccard value; keep: retained values; hot, hotter: longest lists used unsplit, by value and by context; hottest: longest list that isn't boilerplate; estimate: size of the union's sketch."""
+    """width: tokens in a shingle; threshold: least Jaccard value; keep: values with an inverted list; hot, hotter: longest lists by value and by context; estimate: values of the stored sketch."""
 
     width: int = 5
     threshold: float = 0.8
     keep: int = 20
     hot: int = 12
     hotter: int = 128
-    hottest: int = 1000
     estimate: int = 64
 
     def least_shared(self) -> str:
@@ -46,83 +47,112 @@ class Likeness:
         """
         return f"least(3, greatest(1, cast(floor(least(a_n, b_n, {self.keep}) * {self.threshold} / 4) as int)))"
 
+    def deviation(self, likeness: float) -> float:
+        """Standard deviation of a share that a stored sketch gives."""
+        return math.sqrt(likeness * (1 - likeness) / self.estimate)
 
-def sketches(df: DataFrame, id_col: str, text_col: str, p: Likeness, without: np.ndarray | None = None) -> DataFrame:
-    """(id, fp, n, vals, ctx1, ctx2) for each record with at least one shingle; ``without`` (sorted hashes) are left out of the sketch, not of n."""
-    left_out = None if without is None else df.sparkSession.sparkContext.broadcast(without)
-    schema = "id long, fp long, n int, vals array<long>, ctx1 array<long>, ctx2 array<long>"
-    width, keep = p.width, p.keep
+    def least_estimate(self) -> float:
+        return self.threshold - 4.5 * self.deviation(self.threshold)
+
+    def family_share(self) -> float:
+        """Share of common values from which on these alone may make two records alike: 2 t / (1 + t) of each of two sets of one size."""
+        whole = 2 * self.threshold / (1 + self.threshold)
+        return whole - 3 * self.deviation(whole)
+
+
+def sketches(df: DataFrame, p: Likeness) -> DataFrame:
+    """(id, fp, n, vals, ctx, low) for each record (id, text[, without]) with at least one shingle.
+
+    vals: the ``keep`` lowest hashes, ctx: each with the shingle after it; low: the ``estimate`` lowest, of each the upper 32 bits.
+    Values whose upper bits are in a record's ``without`` are left out of its vals and low.
+    """
+    schema = "id long, fp long, n int, vals array<long>, ctx array<long>, low binary"
+    width, keep, many = p.width, p.keep, p.estimate
+    cut = np.uint64(HASH_BITS - 32)
 
     def run(batches):
         for batch in batches:
             for part, texts in blocks(batch):
                 b = Block(texts, width, positions=True)
-                at, offsets = b.lowest(keep, None if left_out is None else ~np.isin(b.values, left_out.value))
+                among = None
+                if "without" in part.schema.names:
+                    lists = part.column("without")
+                    rows = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                    out = (rows.astype(np.uint64) << np.uint64(32)) | pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.uint64)
+                    among = ~np.isin((b.row.astype(np.uint64) << np.uint64(32)) | (b.values.astype(np.uint64) >> cut), out)
+                at, offsets = b.lowest(keep, among)
                 pos = b.at[at]
                 v = b.values[at].astype(np.uint64)
                 own, last = b.raw_row[pos], len(b.raw) - 1
-
-                def beside(step):
-                    # the shingle a step further on in the same text, else as far back, else none
-                    out = np.zeros(len(pos), np.uint64)
-                    for s in (-step, step):
-                        q = np.clip(pos + s, 0, last)
-                        there = (pos + s >= 0) & (pos + s <= last) & (b.raw_row[q] == own)
-                        out[there] = b.raw[q[there]]
-                    return out
-
-                c1 = mix(v * np.uint64(3) + mix(beside(width)))
-                c2 = mix(c1 + mix(beside(2 * width) + np.uint64(7)) + mix(beside(3 * width) + np.uint64(11)))
+                # the shingle a width further on in the same text, else as far back, else none
+                beside = np.zeros(len(pos), np.uint64)
+                for step in (-width, width):
+                    q = np.clip(pos + step, 0, last)
+                    there = (pos + step >= 0) & (pos + step <= last) & (b.raw_row[q] == own)
+                    beside[there] = b.raw[q[there]]
+                lowest, ends = b.lowest(many, among)
+                data = (b.values[lowest].astype(np.uint64) >> cut).astype(np.uint32)
+                low = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
                 offs = pa.array(offsets, pa.int32())
-                out = pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id"),
-                        pa.array(b.fingerprints()),
-                        pa.array(b.sizes.astype(np.int32)),
-                        *(pa.ListArray.from_arrays(offs, pa.array(x.astype(np.int64))) for x in (v, c1, c2)),
-                    ],
-                    names=["id", "fp", "n", "vals", "ctx1", "ctx2"],
-                )
+                two = (pa.ListArray.from_arrays(offs, pa.array(x.astype(np.int64))) for x in (v, mix(v * np.uint64(3) + mix(beside))))
+                out = pa.RecordBatch.from_arrays([part.column("id"), pa.array(b.fingerprints()), pa.array(b.sizes.astype(np.int32)), *two, low], names=["id", "fp", "n", "vals", "ctx", "low"])
                 yield out.filter(pa.array(b.sizes > 0))
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def _postings(sketch: DataFrame) -> DataFrame:
-    x = sketch.select("id", "n", F.explode(F.arrays_zip("vals", "ctx1", "ctx2")).alias("x"))
-    return x.select("id", "n", F.col("x.vals").alias("v"), F.col("x.ctx1").alias("c1"), F.col("x.ctx2").alias("c2"))
+    x = sketch.select("id", "n", F.explode(F.arrays_zip("vals", "ctx")).alias("x"))
+    return x.select("id", "n", F.col("x.vals").alias("v"), F.col("x.ctx").alias("c"))
 
 
-def _keys(postings: DataFrame, scratch: Scratch, p: Likeness, texts: DataFrame | None) -> DataFrame:
-    """(key, w, id, n): each posting under its value, or, counting twice, under a longer context where that list is long.
-
-    texts (id, text) is what records with much boilerplate are sketched from again; without it the longest lists are used as well.
-    """
-    long1 = scratch.save(postings.groupBy("v").count().filter(F.col("count") > p.hot).select("v", F.lit(True).alias("hot1")), "long-lists")
+def _split(postings: DataFrame, scratch: Scratch, p: Likeness) -> DataFrame:
+    """The postings with hot (the value's list is long) and common (that of its context is, too)."""
+    long1 = scratch.save(postings.groupBy("v").count().filter(F.col("count") > p.hot).select("v", F.lit(True).alias("hot")), "long-lists")
     x = postings.join(broadcast_if_small(long1), "v", "left")
-    long2 = scratch.save(x.filter("hot1").groupBy("c1").count().filter(F.col("count") > p.hotter).select("c1", F.lit(True).alias("hot2")), "longer-lists")
-    x = x.join(broadcast_if_small(long2), "c1", "left")
-    key = F.when(F.col("hot1").isNull(), F.col("v")).when(F.col("hot2").isNull(), F.col("c1")).otherwise(F.col("c2"))
-    keyed = lambda y: y.select(key.alias("key"), F.when(F.col("hot1").isNull(), 1).otherwise(2).alias("w"), "id", "n")
-    if texts is None:
-        return keyed(x)
-    long3 = scratch.save(x.filter("hot2").groupBy("c2").agg(F.count("*").alias("m"), F.min("v").alias("v")).filter(F.col("m") > p.hottest), "longest-lists")
-    found = [r.v for r in long3.select("v").distinct().limit(BROADCAST_ROWS + 1).collect()] if long3.limit(1).count() else []
-    if not 0 < len(found) <= BROADCAST_ROWS:
-        return keyed(x)
-    x = scratch.save(x.join(broadcast_if_small(long3.select("c2", F.lit(True).alias("hot3"))), "c2", "left"), "postings")
-    common = F.coalesce(F.col("hot2") & F.col("hot3"), F.lit(False))
-    share = x.groupBy("id").agg(F.sum(common.cast("int")).alias("h"), F.count("*").alias("k"))
-    much = scratch.save(share.filter("5 * h > k").select("id"), "much-boilerplate")
-    again = scratch.save(sketches(texts.join(broadcast_if_small(much), "id", "left_semi"), "id", "text", p, np.sort(np.array(found, np.int64))), "sketched-again")
-    # little else: the sketch isn't full although the record isn't short, so what is left out makes up most of it
-    little = scratch.save(again.filter(f"size(vals) < {p.keep} and size(vals) < {1 - p.threshold} * n").select("id"), "little-else")
-    stay = x.filter(common).join(broadcast_if_small(little), "id", "left_semi")
-    second = _keys(_postings(again), scratch, p, None)
-    columns = ["id", "n", "v", "c1", "c2", "hot1", "hot2"]
-    first = keyed(x.filter(~common).select(columns).unionByName(stay.select(columns)))
-    # another key space, so that a value isn't met with its own first list
-    return first.unionByName(second.select(F.xxhash64("key", F.lit(2)).alias("key"), "w", "id", "n"))
+    long2 = scratch.save(x.filter("hot").groupBy("c").count().filter(F.col("count") > p.hotter).select("c", F.lit(True).alias("common")), "longer-lists")
+    x = x.join(broadcast_if_small(long2), "c", "left")
+    return x.select("id", "n", "v", "c", F.coalesce("hot", F.lit(False)).alias("hot"), F.coalesce("common", F.lit(False)).alias("common"))
+
+
+def _keys(own: DataFrame, texts: DataFrame, scratch: Scratch, p: Likeness) -> DataFrame:
+    """(key, w, id, n): the lists that a record is on, each counting w towards the overlap that is asked for."""
+    x = scratch.save(_split(_postings(own), scratch, p), "postings")
+    # of records with common values: how many of the retained ones
+    share = scratch.save(x.groupBy("id").agg(F.sum(F.col("common").cast("int")).alias("h"), F.count("*").alias("k")).filter("h > 0"), "shares")
+    much = scratch.save(share.filter("4 * h > k").select("id"), "much-common")
+    key, w = F.when(F.col("hot"), F.col("c")).otherwise(F.col("v")), F.when(F.col("hot"), 2).otherwise(1)
+    weighed = x.filter(~F.col("common")).join(broadcast_if_small(share.select("id", "h")), "id", "left")
+    first = weighed.select(key.alias("key"), (w + F.when(F.col("h") >= 3, 2).when(F.col("h") > 0, 1).otherwise(0)).alias("w"), "id", "n")
+    if not much.limit(1).count():
+        return first
+    # sketched again without the common ones of their lowest values: those with long lists, and those that many of these records have
+    low = scratch.save(_lowest(own.join(broadcast_if_small(much), "id", "left_semi")), "lowest")
+    many = low.groupBy("u").agg(F.count("*").alias("m")).filter(F.col("m") > p.hotter).select("u")
+    common = scratch.save(x.filter("common").select(F.shiftright("v", HASH_BITS - 32).alias("u")).unionByName(many).distinct(), "common-values")
+    held = low.join(common, "u").groupBy("id").agg(F.collect_list("u").alias("without"), F.first("k").alias("k"))  # at most p.estimate
+    held = scratch.save(held, "held-common")
+    again = scratch.save(sketches(texts.join(held.select("id", "without"), "id"), p), "sketched-again")
+    y = _split(_postings(again), scratch, p).filter(~F.col("common"))
+    # other lists than those of the first sketches; here one shared value is enough
+    second = y.select(F.xxhash64(key, F.lit(2)).alias("key"), F.lit(3).alias("w"), "id", "n")
+    family = held.filter(F.size("without") >= p.family_share() * F.col("k")).select("id")
+    stay = x.filter("common").join(broadcast_if_small(scratch.save(family, "families")), "id", "left_semi").select(F.col("c").alias("key"), F.lit(3).alias("w"), "id", "n")
+    return first.unionByName(second).unionByName(stay)
+
+
+def _lowest(sketch: DataFrame) -> DataFrame:
+    """(id, k, u): the k numbers of each stored sketch, a row for each."""
+
+    def run(batches):
+        for t in batches:
+            data = t.column("low").to_pylist()
+            k = np.fromiter((len(d) // 4 for d in data), np.int32, len(data))
+            row = pa.array(np.repeat(np.arange(len(data)), k))
+            u = np.frombuffer(b"".join(data), np.uint32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([t.column("id").take(row), pa.array(np.repeat(k, k)), pa.array(u)], names=["id", "k", "u"])
+
+    return sketch.select("id", "low").mapInArrow(run, "id long, k int, u long")
 
 
 def similar_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text", params: Likeness = Likeness()) -> tuple[DataFrame, DataFrame]:
@@ -134,30 +164,63 @@ def similar_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text",
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "p1")
-    sk = scratch.save(sketches(df, id_col, text_col, params), "sketches")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sk = scratch.save(sketches(texts, params), "sketches")
     reps = sk.groupBy("fp").agg(F.min("id").alias("rep"))
     members = scratch.save(sk.select("fp", "id").join(reps, "fp").select("id", "rep", "fp"), "members")
     copies = scratch.save(members.filter("id <> rep").select("id"), "copies")
     own = sk.join(broadcast_if_small(copies), "id", "left_anti")
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keyed = _keys(_postings(own), scratch, params, texts.join(broadcast_if_small(copies), "id", "left_anti"))
+    keyed = _keys(own, texts, scratch, params)
     a, b = (keyed.select("key", F.col("w").alias(f"{x}_w"), F.col("id").alias(x), F.col("n").alias(f"{x}_n")) for x in "ab")
     t = params.threshold
     shared = (
         a.join(b, "key")
         .filter(f"a < b and a_n >= {t} * b_n and b_n >= {t} * a_n")
         .groupBy("a", "b")
-        .agg(F.sum("a_w").alias("c"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
+        .agg(F.sum(F.greatest("a_w", "b_w")).alias("c"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
         .filter(F.expr(f"c >= {params.least_shared()}"))
         .select("a", "b")
     )
-    candidates = scratch.save(shared, "candidates")
+    candidates = scratch.save(estimated(scratch.save(shared, "overlaps"), sk, params, scratch), "candidates")
     pairs = verify(candidates, texts, params, scratch)
     return scratch.save(pairs.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "likeness"), "pairs"), members.select("id", "rep")
 
 
+def union_estimate(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Share of the k lowest values of the union that both sides have; rows of sorted distinct 32-bit values, filled up with the highest 64-bit number."""
+    none = np.iinfo(np.uint64).max
+    both = np.sort(np.concatenate([x, y], 1), axis=1)
+    twice = np.zeros(both.shape, bool)
+    twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != none)
+    first = ~twice & (both != none)
+    rank = np.cumsum(first, axis=1)  # a second one has its first one's rank
+    return (twice & (rank <= k)).sum(1) / np.maximum(1, (first & (rank <= k)).sum(1))
+
+
+def estimated(pairs: DataFrame, sketch: DataFrame, p: Likeness, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that the union's sketch doesn't rule out; it is put together from the records' stored sketches."""
+    wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    low = sketch.join(broadcast_if_small(wanted), "id", "left_semi").select("id", "low")
+    least, k = p.least_estimate(), p.estimate
+
+    def rows(column) -> np.ndarray:
+        data = column.to_pylist()
+        size = np.fromiter((len(d) // 4 for d in data), np.int64, len(data))
+        out = np.full((len(data), k), np.iinfo(np.uint64).max, np.uint64)
+        out[np.arange(k) < size[:, None]] = np.frombuffer(b"".join(data), np.uint32)
+        return out
+
+    def run(batches):
+        for t in batches:
+            keep = union_estimate(rows(t.column("x")), rows(t.column("y")), k) >= least
+            yield t.select(["a", "b"]).filter(pa.array(keep))
+
+    j = pairs.join(low.select(F.col("id").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("y")), "b")
+    return j.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verify(candidates: DataFrame, texts: DataFrame, p: Likeness, scratch: Scratch) -> DataFrame:
-    """(a, b, likeness) of the candidates that reach the threshold: first by the union's sketch, then exactly.
+    """(a, b, likeness) of the candidates that reach the threshold, by the whole sets.
 
     texts (id, text) holds both sides. The texts themselves are joined to the pairs: they are smaller than their shingles.
     """
@@ -168,25 +231,14 @@ def verify(candidates: DataFrame, texts: DataFrame, p: Likeness, scratch: Scratc
 
 
 def _likeness(batch: pa.RecordBatch, p: Likeness):
-    # five standard deviations of the estimate below the threshold, so that it costs no true pair
-    least = p.threshold - 5 * math.sqrt(p.threshold * (1 - p.threshold) / p.estimate)
     for part, texts in blocks(batch, "ta"):
         x, y = Block(texts, p.width), Block(part.column("tb").to_pylist(), p.width)
         n = len(texts)
         key = [(z.row << HASH_BITS) | z.values for z in (x, y)]
-        shared = np.isin(key[0], key[1], assume_unique=True)
-        # the union's sketch: its lowest values, and how many of them both sides have
-        union = np.union1d(*key)
-        at = union >> HASH_BITS
-        size = np.bincount(at, minlength=n)
-        low = np.arange(len(union)) - np.concatenate([[0], np.cumsum(size)])[at] < p.estimate
-        both = np.isin(union, key[0][shared], assume_unique=True)
-        estimate = np.bincount(at[low & both], minlength=n) / np.maximum(1, np.minimum(size, p.estimate))
-        go = np.flatnonzero(estimate >= least)
-        common = np.bincount(x.row[shared], minlength=n)[go]
-        likeness = common / np.maximum(1, size[go])
-        keep = likeness >= p.threshold - 1e-12
-        rows = pa.array(go[keep])
+        common = np.bincount(x.row[np.isin(key[0], key[1], assume_unique=True)], minlength=n)
+        likeness = common / np.maximum(1, x.sizes + y.sizes - common)
+        keep = np.flatnonzero(likeness >= p.threshold - 1e-12)
+        rows = pa.array(keep)
         yield pa.RecordBatch.from_arrays([part.column("a").take(rows), part.column("b").take(rows), pa.array(likeness[keep])], names=["a", "b", "likeness"])
 
 

@@ -139,7 +139,41 @@ def test_boilerplate_is_no_likeness(spark, own):
     texts += [t.replace("x7 ", "y7 ") for t in texts[:30]] + [" ".join(f"u{i}x{j}" for j in range(own)) for i in range(5)]
     texts += [f"{common} " + " ".join(f"m{i}x{j}" for j in range(rng.randrange(4, 20))) for i in range(25)]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
-    pairs, members = nd.similar_pairs(df, params=nd.Likeness(width=4, threshold=0.6, hottest=100))
+    pairs, members = nd.similar_pairs(df, params=nd.Likeness(width=4, threshold=0.6, hotter=64))
     got = {tuple(r) for r in nd.all_pairs(pairs, members).collect()}
     want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if like(a, b, 4) >= 0.6}
     assert len(want) > 60 and got == want
+
+
+@pytest.mark.parametrize("period", [16, 18, 20])
+def test_a_crowded_family(spark, period):
+    """Filled-in forms: runs of words that all have, between slots that none has twice; the likeness comes from the form alone."""
+    rng = random.Random(period)
+    form = [f"f{i}" for i in range(160)]
+    texts = []
+    for i in range(400):
+        t = list(form)
+        for k in range(period // 2, len(t), period):
+            t[k] = f"s{i}x{k}"
+        texts.append(" ".join(t))
+    texts += [" ".join(form[:40] + [f"o{i}x{j}" for j in range(120)]) for i in range(100)]  # the same words as a footer
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    pairs, members = nd.similar_pairs(df, params=nd.Likeness(width=4, threshold=0.6))
+    got = {tuple(r) for r in nd.all_pairs(pairs, members).collect()}
+    one = like(texts[0], texts[1], 4)
+    assert (one >= 0.6) == (len(got) > 0) and len(got) in (0, 400 * 399 // 2)
+    assert one >= 0.6 or period == 16
+
+
+def test_union_estimate():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    none = np.iinfo(np.uint64).max
+    for k in (4, 64):
+        for _ in range(50):
+            x, y = (np.sort(rng.choice(120, rng.integers(0, 100), replace=False)) for _ in "xy")
+            row = lambda z: np.append(z[:k].astype(np.uint64), np.full(k - len(z[:k]), none))[None, :].astype(np.uint64)
+            union = sorted(set(x) | set(y))[:k]
+            want = sum(u in x and u in y for u in union) / max(1, len(union))
+            assert abs(nd.union_estimate(row(x), row(y), k)[0] - want) < 1e-12
