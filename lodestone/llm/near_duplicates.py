@@ -116,14 +116,18 @@ def _split(postings: DataFrame, scratch: Scratch, p: Likeness) -> DataFrame:
 
 
 def _keys(own: DataFrame, texts: DataFrame, scratch: Scratch, p: Likeness) -> DataFrame:
-    """(key, w, id, n): the lists that a record is on, each counting w towards the overlap that is asked for."""
+    """(key, w, id, n): the lists that a record is on, each counting w towards the overlap that is asked for.
+
+    A pair can only share as many common values as both have, so that of the two w the lower one counts: of at most two values
+    left out nothing need be made up for; with up to four, two others are enough, with five one.
+    """
     x = scratch.save(_split(_postings(own), scratch, p), "postings")
     # of records with common values: how many of the retained ones
     share = scratch.save(x.groupBy("id").agg(F.sum(F.col("common").cast("int")).alias("h"), F.count("*").alias("k")).filter("h > 0"), "shares")
     much = scratch.save(share.filter("4 * h > k").select("id"), "much-common")
     key, w = F.when(F.col("hot"), F.col("c")).otherwise(F.col("v")), F.when(F.col("hot"), 2).otherwise(1)
     weighed = x.filter(~F.col("common")).join(broadcast_if_small(share.select("id", "h")), "id", "left")
-    first = weighed.select(key.alias("key"), (w + F.when(F.col("h") >= 3, 2).when(F.col("h") > 0, 1).otherwise(0)).alias("w"), "id", "n")
+    first = weighed.select(key.alias("key"), (w + F.when(F.col("h") >= 5, 2).when(F.col("h") >= 3, 1).otherwise(0)).alias("w"), "id", "n")
     if not much.limit(1).count():
         return first
     # sketched again without the common ones of their lowest values: those with long lists, and those that many of these records have
@@ -177,7 +181,7 @@ def similar_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text",
         a.join(b, "key")
         .filter(f"a < b and a_n >= {t} * b_n and b_n >= {t} * a_n")
         .groupBy("a", "b")
-        .agg(F.sum(F.greatest("a_w", "b_w")).alias("c"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
+        .agg(F.sum(F.least("a_w", "b_w")).alias("c"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
         .filter(F.expr(f"c >= {params.least_shared()}"))
         .select("a", "b")
     )
