@@ -1,17 +1,19 @@
 """Problem 2: new batches against all history.
 
 Method. Minwise hashing: a record's signature is the lowest value of its shingles under each of bands * rows functions; the keys of
-its bands, each with a signature of 128 one-bit minwise values, lie in a table that is bucketed by the key's hash. A delivery's keys
-probe the buckets they hash to; one-bit signatures filter the collisions, the texts' exact Jaccard value decides, and the accepted
+its bands, each with a signature of 128 one-bit minwise values, lie in a table that is bucketed and sorted by the key. A delivery's
+keys probe the buckets they hash to; one-bit signatures filter the collisions, the texts' exact Jaccard value decides, and the accepted
 records' keys are appended.
 
-Scale. The table of keys is never shuffled again: only the delivery's keys move, to the table's buckets. Only texts of
-candidates are read from the store. Equal shingle sets are stored once, so that a text that a third of the rows repeat has one entry.
+Scale. The tables of keys, texts (by id) and doc_ids are bucketed and never shuffled again: only the delivery moves, to their buckets.
+A delivery of few keys reads the buckets of these only. Equal shingle sets are stored once, so that a text that a third of the rows
+repeat has one entry. ``compact`` puts the files of many deliveries together.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import Scratch, broadcast_if_small
 from .near_duplicates import Likeness, verify
 from .shingles import Block, blocks, mix
 
@@ -83,32 +85,85 @@ def instant(ingested_at) -> F.Column:
 
 
 class HistoryIndex:
-    """Band keys of all accepted records, at ``path`` in shared storage; opened again by constructing it with the same path."""
+    """Band keys, texts and doc_ids of all accepted records, at ``path`` in shared storage; opened again by constructing it with the same path.
+
+    Width, threshold, bands and the number of buckets are kept beside the tables: an index that exists is opened with its own
+    buckets, and other parameters than its own are refused.
+    """
+
+    #: (columns, bucketed by) of each table
+    TABLES = {"keys": ("key BIGINT, id BIGINT, n INT, bits BIGINT, more BIGINT", "key"), "texts": ("id BIGINT, text STRING", "id"), "doc_ids": ("doc_key STRING", "doc_key")}
+    #: Values up to which a probe names them, so that other buckets aren't read.
+    FEW = 4096
 
     def __init__(self, spark: SparkSession, path: str, likeness: Likeness = Likeness(), bands: Bands = Bands(), buckets: int = 200):
         self.spark, self.path, self.likeness, self.bands = spark, path.rstrip("/"), likeness, bands
-        self.name = "lodestone_keys_" + hashlib.sha256(self.path.encode()).hexdigest()[:16]
-        self.buckets = buckets
-        if not spark.catalog.tableExists(self.name):
-            spark.sql(
-                f"CREATE TABLE {self.name} (key BIGINT, id BIGINT, n INT, bits BIGINT, more BIGINT) USING parquet "
-                f"CLUSTERED BY (key) INTO {buckets} BUCKETS LOCATION '{self.path}/keys'"
+        own = {"width": likeness.width, "threshold": likeness.threshold, "bands": bands.bands, "rows": bands.rows}
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/settings")
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            kept = max((json.loads(r.value) for r in spark.read.text(f"{self.path}/settings").collect()), key=lambda x: x["generation"])  # a line for each compaction
+            if any(kept[k] != v for k, v in own.items()):
+                raise ValueError(f"the index at {self.path} has other parameters: {kept}")
+            self.settings = kept
+        else:
+            self._set(own | {"buckets": buckets, "generation": 0})
+        self._open()
+
+    def _set(self, settings: dict) -> None:
+        self.spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/settings")
+        self.settings = settings
+
+    def _name(self, table: str) -> str:
+        return f"lodestone_{table}_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}_{self.settings['generation']}"
+
+    def _at(self, table: str) -> str:
+        return f"{self.path}/{self.settings['generation']}/{table}"
+
+    def _open(self) -> None:
+        for table, (columns, by) in self.TABLES.items():
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {self._name(table)} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.settings['buckets']} BUCKETS LOCATION '{self._at(table)}'"
             )
 
+    def _add(self, table: str, rows: DataFrame) -> None:
+        by, n = self.TABLES[table][1], self.settings["buckets"]
+        rows.repartition(n, by).write.mode("append").format("parquet").bucketBy(n, by).sortBy(by).option("path", self._at(table)).saveAsTable(self._name(table))
+
+    def _read(self, table: str, values: DataFrame) -> DataFrame:
+        """A table's rows, at least those of the values (one column) of its bucketing column: if they are few, of their buckets only."""
+        by = self.TABLES[table][1]
+        few = values.distinct().limit(self.FEW + 1).collect()
+        rows = self.spark.table(self._name(table))
+        return rows.filter(F.col(by).isin([r[0] for r in few])) if len(few) <= self.FEW else rows
+
+    def compact(self) -> None:
+        """Writes the tables anew, a sorted file for each bucket, and then goes over to these; the files before stay until they are deleted."""
+        old = {t: self.spark.table(self._name(t)) for t in self.TABLES}
+        before, self.settings = self.settings, self.settings | {"generation": self.settings["generation"] + 1}
+        self._open()
+        for t, rows in old.items():
+            self._add(t, rows)
+        self._set(self.settings)
+        for t in self.TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(t).rsplit('_', 1)[0]}_{before['generation']}")
+
     def _entries(self, sigs: DataFrame) -> DataFrame:
         # the lowest id stands for all records with its set of shingles
         copies = sigs.groupBy("fp").agg(F.min("id").alias("id"))
         reps = sigs.join(copies.select("id"), "id", "left_semi")
         return reps.select(F.explode("keys").alias("key"), "id", "n", "bits", "more")
 
-    def append(self, sigs: DataFrame, doc_ids: DataFrame) -> None:
-        """Adds records by their signatures, and the spelled-down doc_ids (column doc_key)."""
-        self._entries(sigs).repartition(self.buckets, "key").write.mode("append").format("parquet").bucketBy(self.buckets, "key").option("path", f"{self.path}/keys").saveAsTable(self.name)
-        doc_ids.write.mode("append").parquet(f"{self.path}/doc_ids")
+    def append(self, sigs: DataFrame, texts: DataFrame, doc_ids: DataFrame) -> None:
+        """Adds records by their signatures and texts (id, text), and the spelled-down doc_ids (column doc_key)."""
+        entries = Scratch(self.spark, "entries").save(self._entries(sigs), "entries")
+        self._add("keys", entries)
+        self._add("texts", texts.join(broadcast_if_small(entries.select("id").distinct()), "id", "left_semi"))
+        self._add("doc_ids", doc_ids)
 
     def build(self, store: DataFrame, id_col: str = "row_id", text_col: str = "text", doc_col: str = "doc_id") -> None:
         """Adds a whole store of accepted records."""
-        self.append(Scratch(self.spark, "history").save(signatures(store, id_col, text_col, self.likeness.width, self.bands), "signatures"), doc_keys(store, doc_col).distinct())
+        sigs = Scratch(self.spark, "history").save(signatures(store, id_col, text_col, self.likeness.width, self.bands), "signatures")
+        self.append(sigs, _texts(store, id_col, text_col), doc_keys(store, doc_col).distinct())
 
     def _probe(self, mine: DataFrame, theirs: DataFrame, extra: str) -> DataFrame:
         t = self.likeness.threshold
@@ -116,28 +171,30 @@ class HistoryIndex:
         near = f"a_n >= {t} * b_n and b_n >= {t} * a_n and bit_count(a_bits ^ b_bits) + bit_count(a_more ^ b_more) <= {128 - self.bands.least_bits}"
         return a.join(b, "key").filter(f"{near} and {extra}").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
-    def screen(self, delivery: DataFrame, store: DataFrame, order: list[str], id_col: str = "row_id", text_col: str = "text", doc_col: str = "doc_id") -> DataFrame:
+    def screen(self, delivery: DataFrame, order: list[str], id_col: str = "row_id", text_col: str = "text", doc_col: str = "doc_id") -> DataFrame:
         """(id, accepted) for each row of a delivery of one or several batches, and adds the accepted ones to the index.
 
         Rows are taken in the order of the columns ``order`` (which must be free of ties and hold nulls last by themselves). A row
         is rejected if a row accepted before, in the index or in the delivery, has its doc_id (null and blank ones don't count,
-        letter case is ignored) or a text of the threshold's likeness. store (with the same columns) holds the accepted records'
-        texts; ids must be unique over both. Texts without a shingle are like none. An empty delivery gives no rows.
+        letter case is ignored) or a text of the threshold's likeness. Ids must be unique over index and delivery. Texts without a
+        shingle are like none. An empty delivery gives no rows.
         """
         scratch = Scratch(self.spark, "p2")
         rows = scratch.save(delivery.select(F.col(id_col).cast("long").alias("id"), F.struct(*order).alias("o"), doc_key(F.col(doc_col)).alias("doc_key")), "rows")
         sigs = scratch.save(signatures(delivery, id_col, text_col, self.likeness.width, self.bands), "signatures")
-        mine = self._entries(sigs)
-        old = self._probe(mine, self.spark.table(self.name), "true").withColumn("old", F.lit(True))
+        mine = scratch.save(self._entries(sigs), "keys")
+        old = self._probe(mine, self._read("keys", mine.select("key")), "true").withColumn("old", F.lit(True))
         new = self._probe(mine, mine, "a_id < b_id").withColumn("old", F.lit(False))
         candidates = scratch.save(old.unionByName(new), "candidates")
-        both = (x.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")) for x in (delivery, store))
-        links = verify(candidates.select("a", "b"), next(both).unionByName(next(both)), self.likeness, scratch)
-        links = scratch.save(links.join(candidates, ["a", "b"]), "links")
+        new_texts = _texts(delivery, id_col, text_col)
+        old_texts = self._read("texts", candidates.filter("old").select("b"))
+        links = verify(candidates.filter("not old").select("a", "b"), new_texts, self.likeness, scratch).withColumn("old", F.lit(False))
+        with_old = verify(candidates.filter("old").select("a", "b"), new_texts, self.likeness, scratch, old_texts).withColumn("old", F.lit(True))
+        links = scratch.save(links.unionByName(with_old), "links")
 
         classes = sigs.select("id", "fp")
         linked = links.filter("old").select(F.col("a").alias("id")).join(classes, "id").select("fp").distinct()
-        known = self.spark.read.schema("doc_key string").parquet(f"{self.path}/doc_ids")
+        known = self._read("doc_ids", rows.select("doc_key").filter("doc_key is not null"))
         out = classes.join(linked, "fp", "left_semi").select("id").unionByName(rows.join(known, "doc_key", "left_semi").select("id")).distinct()
         rows_left = scratch.save(rows.join(out, "id", "left_anti"), "left")
 
@@ -156,7 +213,7 @@ class HistoryIndex:
         late = self._later(members, scratch)
         result = scratch.save(rows.select("id").join(out.unionByName(late).withColumn("out", F.lit(True)), "id", "left").select("id", F.col("out").isNull().alias("accepted")), "result")
         kept = result.filter("accepted").select("id")
-        self.append(sigs.join(kept, "id", "left_semi"), rows.join(kept, "id", "left_semi").filter("doc_key is not null").select("doc_key").distinct())
+        self.append(sigs.join(kept, "id", "left_semi"), new_texts, rows.join(kept, "id", "left_semi").filter("doc_key is not null").select("doc_key").distinct())
         return result
 
     def _later(self, members: DataFrame, scratch: Scratch) -> DataFrame:
@@ -176,6 +233,10 @@ class HistoryIndex:
         return gone
 
 
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
 def doc_key(col) -> F.Column:
     return F.when(F.trim(col) != "", F.lower(col))
 

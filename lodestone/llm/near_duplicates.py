@@ -223,14 +223,21 @@ def estimated(pairs: DataFrame, sketch: DataFrame, p: Likeness, scratch: Scratch
     return j.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verify(candidates: DataFrame, texts: DataFrame, p: Likeness, scratch: Scratch) -> DataFrame:
+def verify(candidates: DataFrame, texts: DataFrame, p: Likeness, scratch: Scratch, others: DataFrame | None = None) -> DataFrame:
     """(a, b, likeness) of the candidates that reach the threshold, by the whole sets.
 
-    texts (id, text) holds both sides. The texts themselves are joined to the pairs: they are smaller than their shingles.
+    texts (id, text) holds both sides, or the first if ``others`` holds the second. The texts themselves are joined to the pairs:
+    they are smaller than their shingles.
     """
-    wanted = scratch.save(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    some = texts.join(broadcast_if_small(wanted), "id", "left_semi")
-    j = candidates.join(some.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    j = candidates
+    ids = {"a": [F.col("a")], "b": [F.col("b")]} if others is not None else dict.fromkeys("ab", [F.explode(F.array("a", "b"))])
+    wanted = None
+    for side, rows in (("a", texts), ("b", texts if others is None else others)):
+        if side == "a" or others is not None:
+            wanted = scratch.save(candidates.select(*ids[side]).toDF("id").distinct(), "wanted")
+        some = rows.join(broadcast_if_small(wanted), "id", "left_semi")
+        j = j.join(some.select(F.col("id").alias(side), F.col("text").alias(f"t{side}")), side)
+    j = j.select("a", "b", "ta", "tb")
     return j.mapInArrow(lambda batches: (x for b in batches for x in _likeness(b, p)), "a long, b long, likeness double")
 
 

@@ -62,14 +62,30 @@ def p6_rebuilt(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("row_id").agg(F.md5(whole.cast("binary")).alias("digest"), F.min("fits").alias("fits"), F.min("laps").alias("laps"), (F.max("chunk_index") + 1 == F.count("*")).alias("in_order"))
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    store, batches = table(spark, d, "my_docs"), table(spark, d, "chunk_batches")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = hi.HistoryIndex(spark, Scratch(spark, "index").root, nd.Likeness(width=4, threshold=0.6), buckets=buckets)
-    index.build(store)
+_ARRIVAL = ["batch_no", "missing", "at", "row_id"]
+
+
+def _history(spark: SparkSession, d: str) -> tuple[hi.HistoryIndex, DataFrame]:
+    """An index of my_docs, and chunk_batches with the columns of its order."""
+    index = hi.HistoryIndex(spark, Scratch(spark, "index").root, nd.Likeness(width=4, threshold=0.6), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    index.build(table(spark, d, "my_docs"))
     at = hi.instant(F.col("ingested_at"))
-    ordered = batches.withColumns({"missing": at.isNull(), "at": F.coalesce(at, F.lit(0).cast("timestamp"))})
-    return index.screen(ordered, store, ["batch_no", "missing", "at", "row_id"]).filter("not accepted").select(F.col("id").alias("row_id"))
+    return index, table(spark, d, "chunk_batches").withColumns({"missing": at.isNull(), "at": F.coalesce(at, F.lit(0).cast("timestamp"))})
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """All batches as one delivery."""
+    index, batches = _history(spark, d)
+    return index.screen(batches, _ARRIVAL).filter("not accepted").select(F.col("id").alias("row_id"))
+
+
+def p2_by_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows, each batch a delivery of its own that is screened against what the ones before left in the index."""
+    index, batches = _history(spark, d)
+    out = spark.createDataFrame([], "row_id long")
+    for r in batches.select("batch_no").distinct().orderBy("batch_no").collect():  # a row for each delivery
+        out = out.unionByName(index.screen(batches.filter(F.col("batch_no") == r.batch_no), _ARRIVAL).filter("not accepted").select(F.col("id").alias("row_id")))
+    return out
 
 
 def _neighbours(spark: SparkSession, d: str, p: ve.Search) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,15 +106,21 @@ def test_screen_equals_brute_force(spark, one_by_one):
     if one_by_one:
         got, kept = set(), list(store)
         for part in (new[:30], new[30:60], new[60:]):
-            out = index.screen(df(part), df(kept), ["at"]).filter("not accepted").collect()
+            out = index.screen(df(part), ["at"]).filter("not accepted").collect()
             got |= {r.id for r in out}
             kept += [r for r in part if r[0] not in got]
-        index = hi.HistoryIndex(spark, index.path, index.likeness, buckets=4)  # opened again: all is known now
-        again = index.screen(df(kept[60:]).withColumn("row_id", F.col("row_id") + 1000), df(kept), ["at"])
+        for t in index.TABLES:  # as another session finds it: all is known now, whatever buckets are asked for
+            spark.sql(f"DROP TABLE {index._name(t)}")
+        index = hi.HistoryIndex(spark, index.path, index.likeness, buckets=7)
+        assert index.settings["buckets"] == 4
+        index.compact()
+        with pytest.raises(ValueError):
+            hi.HistoryIndex(spark, index.path, nd.Likeness(width=5, threshold=0.6))
+        again = index.screen(df(kept[60:]).withColumn("row_id", F.col("row_id") + 1000), ["at"])
         known = {i + 1000 for i, t, d in kept[60:] if grams(t or "", 4) or (d and d.strip())}
         assert {r.id for r in again.filter("not accepted").collect()} == known
     else:
-        got = {r.id for r in index.screen(df(new), df(store), ["at"]).filter("not accepted").collect()}
+        got = {r.id for r in index.screen(df(new), ["at"]).filter("not accepted").collect()}
     want = screen_by_hand(store, new, 4, 0.6)
     assert 20 < len(want) < len(new) and got == want
 
@@ -121,7 +129,28 @@ def test_screen_of_nothing(spark):
     df = spark.createDataFrame([], SCHEMA + ", at long")
     index = hi.HistoryIndex(spark, Scratch(spark, "t").root, buckets=2)
     index.build(df)
-    assert index.screen(df, df, ["at"]).count() == 0
+    assert index.screen(df, ["at"]).count() == 0
+
+
+def test_a_small_delivery_reads_its_buckets_only(spark):
+    """One row is screened although the files of all buckets but those of its keys are spoilt."""
+    rows = [(i, " ".join(f"w{(i * 7919 + 31 * j) % 5003}" for j in range(30)), f"d{i}", "s", "x") for i in range(300)]
+    index = hi.HistoryIndex(spark, Scratch(spark, "t").root, nd.Likeness(width=4, threshold=0.6), hi.Bands(bands=4), buckets=64)
+    index.build(spark.createDataFrame(rows, SCHEMA))
+    index.compact()
+    one = spark.createDataFrame([(10**6, rows[5][1] + " more", None, "s", "x")], SCHEMA).withColumn("at", F.lit(1))
+    keys = hi.signatures(one, "row_id", "text", 4, index.bands).select(F.explode("keys").alias("key"))
+    own = {r[0] for r in keys.select(F.pmod(F.hash("key"), F.lit(64))).collect()}
+    files = list(Path(index._at("keys").removeprefix("file://")).glob("*.parquet"))
+    bucket = {f: int(re.search(r"_(\d{5})\.", f.name)[1]) for f in files}
+    assert len(own) <= 4 and len(files) == len(set(bucket.values())) > 50
+    for f in files:
+        if bucket[f] not in own:
+            f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+            f.write_bytes(b"spoilt")
+    assert not index.screen(one, ["at"]).first().accepted
+    with pytest.raises(Exception, match="spoilt|Parquet|parquet"):
+        spark.table(index._name("keys")).agg(F.max("n")).collect()
 
 
 def test_instants(spark):
