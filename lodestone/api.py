@@ -120,6 +120,20 @@ class KnowledgeBase:
         _, gone = self.store.replace(where, rows)
         return {"sources": sources, "deleted": gone, "added": rows.count()}
 
+    def update_documents(self, paths: list[str]) -> dict:
+        """The same for several files by their names, in one version; files without enough text change nothing."""
+        files = fs.read_files(self.spark, paths, c=self.config).withColumn("source", tx.basename(F.col("path")))
+        texts = fs.texts(files, self.pdf).filter(F.length("text") >= self.config.min_doc_chars)
+        scratch = Scratch(self.spark, "update")
+        texts = scratch.save(texts, "texts")
+        rows = scratch.save(self._rows(texts), "rows")
+        gone = 0
+        if rows.limit(1).count():
+            _, gone = self.store.replace(by=F.lower(tx.basename(F.col("source"))), values=texts.select(F.lower("source")), added=rows)
+        out = {"sources": texts.select("source").distinct().count(), "deleted": gone, "added": rows.count()}
+        scratch.drop()
+        return out
+
     def delete_documents(self, source_pattern: str = "", confirm_all: bool = False) -> dict:
         if confirm_all:
             n = self.store.read().count()
@@ -163,7 +177,7 @@ class KnowledgeBase:
         if n and keep_old:
             self.images.append(rows)
         elif n:
-            self.images.replace(F.col("image_path").isin([r.image_path for r in rows.select("image_path").collect()]) if n <= 10_000 else F.lit(False), rows)
+            self.images.replace(by=F.col("image_path"), values=rows.select("image_path"), added=rows)
         return n
 
     def search_images(self, query: str, limit: int = 8, source_filter: str = "") -> DataFrame:
@@ -180,8 +194,7 @@ class KnowledgeBase:
             raise ValueError(f"no such folder: {root}")
 
         def apply(batch: DataFrame) -> None:
-            for r in batch.select("target").distinct().toLocalIterator():
-                self.update_document(fs.local_path(r.target))
+            self.update_documents([r.target for r in batch.select("target").distinct().collect()])  # names of the files of one step
 
         self._watching = wa.watch(self.spark, root, apply, checkpoint or f"{self.path}/watcher", self.config.debounce_seconds)
 

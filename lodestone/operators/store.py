@@ -11,11 +11,12 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import text as tx
+from ..session import broadcast_if_small
 
 CHUNKS = "text string, vector array<float>, source string, chunk_index long, category string, doc_id string, ingested_at string, seq long"
 
@@ -48,7 +49,7 @@ class Store:
     def _manifest(self, version: int | None = None) -> dict:
         v = self.version() if version is None else version
         if v == 0:
-            return {"parts": [], "next_seq": 0}
+            return {"parts": [], "seq_end": 0}
         stream = self._fs.open(self._path(f"{self.path}/versions/{v:012d}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -88,51 +89,75 @@ class Store:
 
     def create(self) -> int:
         v = self.version()
-        return v if self.exists() else self._publish(v, {"parts": [], "next_seq": 0})
+        return v if self.exists() else self._publish(v, {"parts": [], "seq_end": 0})
 
-    def _numbered(self, df: DataFrame, first: int) -> DataFrame:
-        """Rows with a ``seq`` of their own: above all before, in the order of the input's seq within a key; with gaps, as no task counts them all."""
-        if "seq" not in df.columns:
-            return df.withColumn("seq", F.lit(first) + F.monotonically_increasing_id())
-        order = Window.partitionBy(self.key).orderBy("seq", "_m")
-        x = df.withColumn("_m", F.monotonically_increasing_id())
-        return x.withColumn("seq", F.lit(first) + F.row_number().over(order)).drop("_m")
+    def _end(self, m: dict) -> int:
+        """The number after the last; older manifests, which counted in steps of a fixed size, don't name it."""
+        if "seq_end" in m:
+            return m["seq_end"]
+        parts = m["parts"]
+        last = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{d}/bucket={b}" for d, b in parts]).agg(F.max("seq")).first()[0] if parts else None
+        return 0 if last is None else last + 1
+
+    def _add(self, df: DataFrame, first: int) -> tuple[list[list], int]:
+        """Writes rows with a ``seq`` of their own, above all before: the parts, and the number after the last that was given.
+
+        Rows are numbered in the order of the input's seq if it has one, over the whole input, so that no key's rows meet in one
+        task. Numbers have gaps, as no task counts them all.
+        """
+        if "seq" in df.columns:
+            df = df.orderBy("seq", *[c for c in (self.key, "doc_id", "chunk_index") if c in df.columns and c != "seq"])
+        last = Observation(f"seq-{uuid.uuid4().hex}")
+        rows = df.withColumn("seq", F.lit(first) + F.monotonically_increasing_id()).observe(last, F.max("seq").alias("last"))
+        parts = self._write(rows)
+        end = last.get["last"]
+        return parts, first if end is None else end + 1
 
     def append(self, df: DataFrame, base: int | None = None) -> int:
-        """Adds rows; seq is given here, in the order of the input's ``seq`` within a key if it has one. Returns the version."""
+        """Adds rows; seq is given here, in the order of the input's ``seq`` if it has one. Returns the version."""
         v = self.version() if base is None else base
         m = self._manifest(v)
-        parts = self._write(self._numbered(df, m["next_seq"]))
-        return self._publish(v, {"parts": m["parts"] + parts, "next_seq": m["next_seq"] + (1 << 54)})
+        parts, end = self._add(df, self._end(m))
+        return self._publish(v, {"parts": m["parts"] + parts, "seq_end": end})
 
-    def replace(self, where: Column, added: DataFrame | None = None) -> tuple[int, int]:
-        """Takes out the rows for which ``where`` is true and adds others, in one version: (version, rows taken out).
+    def replace(self, where: Column | None = None, added: DataFrame | None = None, by: Column | None = None, values: DataFrame | None = None) -> tuple[int, int]:
+        """Takes out the rows for which ``where`` is true, or ``by`` is one of ``values`` (one column), and adds others, in one version: (version, rows taken out).
 
         Only buckets that hold such rows are rewritten. A null condition keeps its row.
         """
         v = self.version()
         m = self._manifest(v)
-        now = self.read(v)
-        hit = now.filter(where).groupBy(self._bucket().alias("b")).agg(F.count("*").alias("n")).collect()  # at most a row for each bucket
+
+        def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+            if values is None:
+                hit = F.coalesce(where, F.lit(False))
+                return rows.filter(hit), rows.filter(~hit)
+            asked = broadcast_if_small(values.toDF("_value").distinct())
+            keyed = rows.withColumn("_value", by)
+            return tuple(keyed.join(asked, "_value", how).select(*rows.columns) for how in ("left_semi", "left_anti"))
+
+        hit = split(self.read(v))[0].groupBy(self._bucket().alias("b")).agg(F.count("*").alias("n")).collect()  # at most a row for each bucket
         touched = {r.b for r in hit}
         parts = [p for p in m["parts"] if p[1] not in touched]
         old = [p for p in m["parts"] if p[1] in touched]
         if old:
             rows = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{d}/bucket={b}" for d, b in old])
-            parts += self._write(rows.filter(~F.coalesce(where, F.lit(False))))
+            parts += self._write(split(rows)[1])
+        end = self._end(m)
         if added is not None:
-            parts += self._write(self._numbered(added, m["next_seq"]))
-        return self._publish(v, {"parts": parts, "next_seq": m["next_seq"] + (1 << 54)}), sum(r.n for r in hit)
+            new, end = self._add(added, end)
+            parts += new
+        return self._publish(v, {"parts": parts, "seq_end": end}), sum(r.n for r in hit)
 
     def overwrite(self, df: DataFrame) -> int:
         """A version with these rows only, published once they are written."""
         v = self.version()
-        m = self._manifest(v)
-        return self._publish(v, {"parts": self._write(self._numbered(df, m["next_seq"])), "next_seq": m["next_seq"] + (1 << 54)})
+        parts, end = self._add(df, self._end(self._manifest(v)))
+        return self._publish(v, {"parts": parts, "seq_end": end})
 
     def drop(self) -> int:
         v = self.version()
-        return self._publish(v, {"parts": [], "next_seq": 0, "dropped": True})
+        return self._publish(v, {"parts": [], "seq_end": 0, "dropped": True})
 
     def compact(self) -> int:
         """Rewrites buckets that lie in several folders as one."""
@@ -145,7 +170,7 @@ class Store:
         if not many:
             return v
         rows = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{d}/bucket={b}" for d, b in many])
-        return self._publish(v, {"parts": [p for p in m["parts"] if by[p[1]] == 1] + self._write(rows), "next_seq": m["next_seq"]})
+        return self._publish(v, {"parts": [p for p in m["parts"] if by[p[1]] == 1] + self._write(rows), "seq_end": self._end(m)})
 
     def vacuum(self, keep: int = 2) -> int:
         """Deletes data folders that the last ``keep`` versions don't use; returns how many."""

@@ -13,8 +13,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow table counts as small enough to broadcast.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a table counts as small enough to broadcast, and of a value of each type in memory (others count as text).
+BROADCAST_BYTES = 32 << 20
+_BYTES = {"boolean": 1, "int": 4, "float": 4, "bigint": 8, "double": 8, "timestamp": 8}
 
 
 def build_session(master: str = "local[*]", app: str = "lodestone", **conf: str) -> SparkSession:
@@ -104,6 +105,8 @@ class Scratch:
         _remove(self.spark, self.root)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a stored, narrow table for broadcast if a count shows at most ``rows`` rows; else leaves it to a shuffled join."""
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a stored, narrow table for broadcast if a count shows that it takes at most ``most`` bytes; else leaves it to a shuffled join."""
+    width = 40 + sum(_BYTES.get(f.dataType.simpleString(), 40) for f in df.schema)
+    rows = max(1, most // width)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

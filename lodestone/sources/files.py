@@ -30,15 +30,57 @@ def relative(path: Column, root: str) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^file:/+", "/"), "^" + "".join("\\" + c if c in r"\.[]{}()*+-?^$|" else c for c in bare.rstrip("/")) + "/", "")
 
 
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """The folders at and below a root, without those that are left out; a root that is a file stands for itself. Names only, as any listing holds them."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    if fs.getFileStatus(at).isFile():
+        return [root]
+    out, todo = [], [at]
+    while todo:
+        folder = todo.pop()
+        out.append(folder.toString())
+        try:
+            todo += [s.getPath() for s in fs.listStatus(folder) if s.isDirectory() and s.getPath().getName() not in EXCLUDED_DIRS]
+        except Exception:  # noqa: BLE001  a folder that can't be read is skipped
+            continue
+    return sorted(out)
+
+
+def _glob(extensions: tuple[str, ...]) -> str:
+    """File names with these endings, in either letter case."""
+    return "{" + ",".join("*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in extensions) + "}"
+
+
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = TEXT_EXTENSIONS, c: EngineConfig = EngineConfig(), content: bool = True) -> DataFrame:
     """(path, source, size, modified[, content]) of the files below a folder, recursively; source is the relative path.
 
-    Unreadable files are skipped. Content is only read for rows that are kept, and not at all without ``content``.
+    Unreadable files are skipped. Folders that are left out aren't listed, files of other kinds are dropped by name and too large
+    ones by size before anything is read; without ``content`` nothing is. A root that doesn't exist has no files.
     """
     ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)
+    at = folders(spark, root)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    if at:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", _glob(extensions)).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(at)
+    else:
+        files = spark.createDataFrame([], schema)
     rows = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
-    return rows.filter(allowed(relative(F.col("path"), root), F.col("size"), extensions, c.max_file_bytes)).withColumn("source", relative(F.col("path"), root))
+    return rows.filter((F.col("size") <= c.max_file_bytes) & allowed(relative(F.col("path"), root), F.col("size"), extensions, c.max_file_bytes)).withColumn("source", relative(F.col("path"), root))
+
+
+def read_files(spark: SparkSession, paths: list[str], extensions: tuple[str, ...] = TEXT_EXTENSIONS, c: EngineConfig = EngineConfig()) -> DataFrame:
+    """(path, size, content) of named files of known kinds and sizes; missing ones are skipped."""
+    jvm = spark.sparkContext._jvm
+    fs = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    there = [p.toString() for p in fs if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)]
+    if not there:
+        return spark.createDataFrame([], "path string, size long, content binary")
+    files = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(there)
+    return files.filter((F.col("length") <= c.max_file_bytes) & extension(F.col("path")).isin(*extensions)).select("path", F.col("length").alias("size"), "content")
 
 
 def scan_images(spark: SparkSession, root: str, c: EngineConfig = EngineConfig()) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import io
 import json
 import threading
+import time
 import urllib.error
 import urllib.request
 import zipfile
@@ -155,10 +156,29 @@ def test_store_versions(spark, tmp_path):
     other = st.Store(spark, s.path, buckets=3)
     with pytest.raises(st.ConcurrentCommit):
         other._publish(s.version() - 1, {"parts": [], "next_seq": 0})
+    _, gone = s.replace(by=F.upper("source"), values=spark.createDataFrame([("S2",), ("S9",), (None,)], "x string"), added=rows.filter("seq = 2"))
+    assert gone == 8 and s.read().filter("source = 's2'").count() == 1
     s.drop()
     assert not s.exists()
 
 
+def test_a_store_takes_many_writes(spark, tmp_path):
+    s = st.Store(spark, f"file://{tmp_path}/s", "source string, doc_id string, seq long", buckets=1)
+    rows = spark.createDataFrame([("a", "1"), ("a", "2")], "source string, doc_id string").coalesce(1)
+    s._publish(0, {"parts": [], "next_seq": 0})  # as an older version counted
+    parts, _ = s._add(rows, 511 << 54)
+    s._publish(1, {"parts": parts, "next_seq": 512 << 54})
+    for k in range(600):
+        if k < 5 or k > 595:
+            s.append(rows)
+        else:  # as many versions, without as many jobs
+            m = s._manifest()
+            s._publish(s.version(), {"parts": m["parts"], "seq_end": m["seq_end"] + 2})
+    seqs = [r.seq for r in s.read().orderBy("seq").collect()]
+    assert len(set(seqs)) == len(seqs) == 2 + 2 * 9 and seqs[0] == 511 << 54 and seqs[-1] < (511 << 54) + 3000
+    assert s.version() == 602
+
+
 def test_reranking(spark):
     rows = spark.createDataFrame([(i, f"text {i} " + ("river " if i == 3 else ""), i + 1) for i in range(40)], "id long, text string, position int")
     got = {r.id: r.score for r in rk.rerank(rows, "river stage").collect()}
@@ -243,15 +263,39 @@ def test_watcher_updates_the_store(kb, folder):
     kb.start_watcher(str(folder))
     with pytest.raises(RuntimeError):
         kb.start_watcher(str(folder))
-    kb._watching.processAllAvailable()
     (folder / "docs/new.txt").write_text("A new file about sediment arrives while watching.")
-    kb._watching.processAllAvailable()
+    until = time.time() + 60
+    while time.time() < until and kb.get_document("new.txt").count() == 0:
+        time.sleep(1)
     assert kb.stop_watcher() and not kb.stop_watcher()
     assert kb.get_document("new.txt").count() == 1
     with pytest.raises(ValueError):
         kb.start_watcher("/no/such/folder")
 
 
+@pytest.mark.parametrize("trailing", [False, True])
+def test_watcher_sees_rewritten_and_moved_files(spark, tmp_path, trailing):
+    root = tmp_path / "in"
+    (root / "node_modules").mkdir(parents=True)
+    (root / "a.txt").write_text("one")
+    (root / "b.txt").write_text("another")
+    seen = []
+    w = wa.Watcher(spark, str(root), lambda e: seen.append(sorted((r.target.rsplit("/", 1)[1], r.kind) for r in e.collect())), f"file://{tmp_path}/w", 3600, trailing)
+    assert w.step() == 0 and not seen
+    (root / "a.txt").write_text("rewritten")
+    (root / "node_modules/c.txt").write_text("left out")
+    (root / "d.exe").write_text("no text")
+    assert w.step() == 1 and seen[-1] == [("a.txt", "modified")]
+    (root / "a.txt").write_text("rewritten once more")  # within the wait
+    (root / "b.txt").rename(root / "moved.txt")
+    (root / "new.txt").write_text("created")
+    assert w.step() == 2 and seen[-1] == [("moved.txt", "moved"), ("new.txt", "created")]
+    (root / "new.txt").unlink()
+    again = wa.Watcher(spark, str(root), w.apply, w.checkpoint, 0.0, trailing)  # goes on where the first one was
+    assert again.step() == trailing and seen[-1] == ([("a.txt", "modified")] if trailing else [("moved.txt", "moved"), ("new.txt", "created")])
+    assert w.step() == 0
+
+
 def test_images(spark, tmp_path, folder):
     e = vx.HashingEmbedder(64)
     k = KnowledgeBase(spark, f"file://{tmp_path}/imgdb", CONFIG, e, image_embedder=lambda path: vx.embed(path, e))
