@@ -15,7 +15,9 @@ from .functions import chunking
 from .functions import text as tx
 from .functions import vectors as vx
 from .operators import images as im
+from .operators import index as ix
 from .operators import manage as mg
+from .operators import rebuild as rb
 from .operators import search as se
 from .operators import store as st
 from .session import Scratch
@@ -28,12 +30,15 @@ IMAGES = "image_path string, file_name string, source_doc string, caption string
 class KnowledgeBase:
     """A chunk store, an image store and what can be done with them."""
 
-    def __init__(self, spark: SparkSession, path: str, config: EngineConfig = EngineConfig(), embedder: vx.Embedder | None = None, scorer=None, pdf=(), image_embedder=None):
+    def __init__(self, spark: SparkSession, path: str, config: EngineConfig = EngineConfig(), embedder: vx.Embedder | None = None, scorer=None, pdf=(), image_embedder=None, image_text_embedder: vx.Embedder | None = None, progress=None):
         self.spark, self.path, self.config = spark, path.rstrip("/"), config
         self.embedder = embedder or vx.HashingEmbedder(config.dims)
-        self.scorer, self.pdf, self.image_embedder = scorer, list(pdf), image_embedder
+        #: image_embedder makes a column of vectors from one of paths; image_text_embedder is the same model's side for query texts
+        self.scorer, self.pdf, self.image_embedder, self.image_text_embedder = scorer, list(pdf), image_embedder, image_text_embedder or self.embedder
+        self.progress = progress or (lambda done, total: None)
         self.store = st.Store(spark, f"{self.path}/chunks", buckets=config.store_buckets)
         self.images = st.Store(spark, f"{self.path}/images", IMAGES, "image_path", config.store_buckets)
+        self.index = ix.StoreIndex(self.store, config.dims, config)
         self._watching = None
 
     # reading
@@ -41,20 +46,29 @@ class KnowledgeBase:
     def corpus(self) -> DataFrame:
         if not self.store.exists():
             raise ValueError("the knowledge base is empty")
-        return self.store.read().withColumn("id", F.xxhash64("source", "chunk_index", "seq"))
+        return self.store.read().withColumn("id", ix.row_id())
 
-    def search_knowledge(self, query: str, limit: int = 5, use_reranker: bool = True, source_filter: str = "", search_mode: str = "vector", category_filter: str = "") -> se.Found:
-        return se.search(self.corpus(), query, limit=min(max(limit, 1), 20), mode=search_mode, source_filter=source_filter, category_filter=category_filter, use_reranker=use_reranker, scorer=self.scorer, embedder=self.embedder, c=self.config)
+    def _search(self, query: str, limit: int, use_reranker: bool, source_filter: str, search_mode: str, category_filter: str) -> se.Found:
+        corpus = self.corpus()
+        self.index.refresh()  # nothing to do unless another process has written
+        return se.search(corpus, query, limit=limit, mode=search_mode, source_filter=source_filter, category_filter=category_filter, use_reranker=use_reranker, scorer=self.scorer, embedder=self.embedder, c=self.config, index=self.index)
+
+    def search_knowledge(self, query: str, limit: int = 5, use_reranker: bool = True, source_filter: str = "", search_mode: str = "vector", snippet_mode: bool = True, category_filter: str = "") -> se.Found:
+        """The rows found; ``snippet_mode`` is for ``rendered``, which shows the beginnings of texts or all of them."""
+        found = self._search(query, min(max(limit, 1), 20), use_reranker, source_filter, search_mode, category_filter)
+        found.snippet = snippet_mode
+        return found
 
     def ask_knowledge(self, query: str, limit: int = 5, use_reranker: bool = True, source_filter: str = "", category_filter: str = "", search_mode: str = "hybrid") -> dict:
-        found = se.search(self.corpus(), query, limit=min(max(limit, 1), 10), mode=search_mode, source_filter=source_filter, category_filter=category_filter, use_reranker=use_reranker, scorer=self.scorer, embedder=self.embedder, c=self.config)
+        found = self._search(query, min(max(limit, 1), 10), use_reranker, source_filter, search_mode, category_filter)
         items, block = se.evidence(found)
+        found.close()
         return {"evidence": items, "evidence_block": block}
 
     def get_knowledge_status(self) -> dict:
         rows = self.store.read()
         s = mg.status(rows).first().asDict()
-        return s | {"version": self.store.version(), "categories": {r.category: r.n for r in mg.category_counts(rows).collect()}, "embedder": type(self.embedder).__name__, "dims": self.config.dims, "images": self.images.read().count(), "watching": self._watching is not None}
+        return s | {"version": self.store.version(), "categories": {r.category: r.n for r in mg.category_counts(rows).collect()}, "embedder": type(self.embedder).__name__, "reranker": "lexical" if self.scorer is None else getattr(self.scorer, "__name__", "scorer"), "indexes": ["postings", "cells"] if self.store.exists() else [], "dims": self.config.dims, "images": self.images.read().count(), "watching": self._watching is not None}
 
     def list_documents(self, category_filter: str = "", limit: int = 50) -> DataFrame:
         return mg.listing(self.store.read(), category_filter, limit)
@@ -90,22 +104,37 @@ class KnowledgeBase:
         n = saved.count()
         if n:
             self.store.append(saved)
+            self.index.refresh()
         return n
 
-    def add_documents(self, scan_dir: str, reindex_all: bool = False) -> dict:
+    def _export(self, texts: DataFrame, folder: str) -> None:
+        """Writes the texts below a folder of this machine or a shared one, as Markdown under their own names."""
+        if folder:
+            rb.export_markdown(texts.filter(F.length("text") >= self.config.min_doc_chars), folder)
+
+    def add_documents(self, scan_dir: str, reindex_all: bool = False, export_markdown_dir: str = "") -> dict:
         """Indexes the files below a folder that aren't stored; with ``reindex_all`` all, in place of what is stored once they are read."""
         found = fs.scan(self.spark, scan_dir, c=self.config)
         todo = found if reindex_all else st.new_sources(found, self.store.read())
-        rows = Scratch(self.spark, "add").save(self._rows(fs.texts(todo, self.pdf)), "rows")
+        scratch = Scratch(self.spark, "add")
+        texts = scratch.save(fs.texts(todo, self.pdf), "texts")
+        total = texts.count()
+        self.progress(0, total)
+        self._export(texts, export_markdown_dir)
+        rows = scratch.save(self._rows(texts), "rows")
         n = rows.count()
         if n and reindex_all:
             self.store.overwrite(rows)
         elif n:
             self.store.append(rows)
+        self.index.refresh()
+        self.progress(total, total)
         return {"chunks": n, "documents": rows.select("source").distinct().count()}
 
-    def add_single_document(self, filepath: str, scan_dir: str = "", allow_repeats: bool = False) -> int:
-        rows = self._rows(self.spark.createDataFrame([self._one(filepath, scan_dir)], "source string, text string, markdown boolean"))
+    def add_single_document(self, filepath: str, scan_dir: str = "", export_markdown_dir: str = "", allow_repeats: bool = False) -> int:
+        one = self.spark.createDataFrame([self._one(filepath, scan_dir)], "source string, text string, markdown boolean")
+        self._export(one, export_markdown_dir)
+        rows = self._rows(one)
         if not allow_repeats:
             rows = rows.join(self.store.read().select("doc_id").distinct(), "doc_id", "left_anti")
         return self._added(rows)
@@ -118,6 +147,7 @@ class KnowledgeBase:
         where = st.source_match(name) if substring else F.lower(tx.basename(F.col("source"))) == name.lower()
         sources = self.store.read().filter(where).select("source").distinct().count()
         _, gone = self.store.replace(where, rows)
+        self.index.refresh()
         return {"sources": sources, "deleted": gone, "added": rows.count()}
 
     def update_documents(self, paths: list[str]) -> dict:
@@ -130,6 +160,7 @@ class KnowledgeBase:
         gone = 0
         if rows.limit(1).count():
             _, gone = self.store.replace(by=F.lower(tx.basename(F.col("source"))), values=texts.select(F.lower("source")), added=rows)
+            self.index.refresh()
         out = {"sources": texts.select("source").distinct().count(), "deleted": gone, "added": rows.count()}
         scratch.drop()
         return out
@@ -144,6 +175,7 @@ class KnowledgeBase:
         where = st.source_match(source_pattern)
         names = [r.source for r in self.store.read().filter(where).select("source").distinct().orderBy("source").limit(10).collect()]
         _, gone = self.store.replace(where) if names else (0, 0)
+        self.index.refresh()
         return {"deleted": gone, "remaining": self.store.read().count(), "sources": names}
 
     def dedupe(self, purge: bool = False) -> int:
@@ -151,7 +183,10 @@ class KnowledgeBase:
         kept = st.purge_repeated(rows) if purge else st.keep_first(rows)
         before, now = rows.count(), kept.count()
         if now < before:
-            self.store.overwrite(kept)
+            # only the buckets that hold a row too many are written again
+            gone = rows.select(ix.row_id().alias("id")).exceptAll(kept.select(ix.row_id().alias("id")))
+            self.store.replace(by=ix.row_id(), values=Scratch(self.spark, "dedupe").save(gone, "gone"))
+            self.index.refresh()
         return before - now
 
     def ingest_url(self, url: str, html: str | None = None, source_is_url: bool = False) -> int:
@@ -182,7 +217,7 @@ class KnowledgeBase:
 
     def search_images(self, query: str, limit: int = 8, source_filter: str = "") -> DataFrame:
         rows = self.images.read().withColumn("id", F.xxhash64("image_path", "seq"))
-        return im.top_images(rows, [float(x) for x in self.embedder.encode([query])[0]], min(max(limit, 1), 20), source_filter)
+        return im.top_images(rows, [float(x) for x in self.image_text_embedder.encode([query])[0]], min(max(limit, 1), 20), source_filter)
 
     # watching
 
@@ -206,6 +241,20 @@ class KnowledgeBase:
         return True
 
 
+#: A form that posts a search and lists what comes back.
+PAGE = """<!doctype html><meta charset="utf-8"><title>Lodestone</title><form id="f"><input id="q" autofocus> <button>Search</button></form><p id="s"></p><ol id="r"></ol>
+<script>
+const status = () => fetch("/api/status").then(r => r.json()).then(s => document.getElementById("s").textContent = s.documents + " documents, " + s.rows + " chunks");
+status(); setInterval(status, 60000);
+document.getElementById("f").onsubmit = async e => {
+  e.preventDefault();
+  const got = await (await fetch("/api/search", {method: "POST", body: JSON.stringify({query: document.getElementById("q").value})})).json();
+  document.getElementById("r").replaceChildren(...(got.results || [{source: "", text: got.error}]).map(x => {
+    const li = document.createElement("li"); li.textContent = x.source + " - " + x.text.slice(0, 500); return li; }));
+};
+</script>"""
+
+
 def serve(kb: KnowledgeBase, port: int = 8003) -> ThreadingHTTPServer:
     """A server on this machine: GET /api/status, POST /api/search {query, limit, mode, source_filter}; searches run one at a time."""
     lock = threading.Lock()
@@ -221,12 +270,20 @@ def serve(kb: KnowledgeBase, port: int = 8003) -> ThreadingHTTPServer:
             self.end_headers()
             self.wfile.write(data)
 
+        def _page(self) -> None:
+            data = PAGE.encode()
+            self.send_response(200)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
         def do_GET(self):  # noqa: N802
             if self.path == "/api/status":
                 with lock:
                     self._send(200, {"ok": True, **kb.get_knowledge_status()})
             elif self.path == "/":
-                self._send(200, {"ok": True, "use": ["/api/status", "/api/search"]})
+                self._page()
             else:
                 self._send(404, {"ok": False})
 
@@ -244,6 +301,7 @@ def serve(kb: KnowledgeBase, port: int = 8003) -> ThreadingHTTPServer:
                 with lock:
                     found = kb.search_knowledge(query, min(max(int(asked.get("limit", 5)), 1), 30), source_filter=asked.get("source_filter", ""), search_mode=asked.get("mode", "hybrid"))
                     rows = found.collect()
+                    found.close()
                 self._send(200, {"ok": True, "results": rows, "trace": found.trace})
             except Exception as e:  # noqa: BLE001
                 self._send(200, {"ok": False, "error": str(e)})

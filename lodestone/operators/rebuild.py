@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import time
 from collections.abc import Callable
@@ -78,6 +79,29 @@ def renumber_images(text: str, existing: set[str], stem: str = "img") -> tuple[s
     return _IMAGE.sub(put, text), names
 
 
+def export_markdown(texts: DataFrame, folder: str) -> DataFrame:
+    """Writes each text (source, text) below a folder that all executors see, as Markdown under its source's name; the names written.
+
+    Folders of a source stay, its ending becomes .md; a name that would lead out of the folder is left out.
+    """
+    root = os.path.abspath(fs.local_path(folder))
+
+    def run(batches):
+        for b in batches:
+            names = []
+            for source, text in zip(b.column("source").to_pylist(), b.column("text").to_pylist()):
+                at = os.path.abspath(os.path.join(root, re.sub(r"\.[^./]*$", "", (source or "").replace("\\", "/")) + ".md"))
+                if source and text is not None and at.startswith(root + os.sep):
+                    os.makedirs(os.path.dirname(at), exist_ok=True)
+                    with open(at + ".part", "w", encoding="utf-8") as f:
+                        f.write(text)
+                    os.replace(at + ".part", at)  # a task that runs again writes the same
+                    names.append(os.path.relpath(at, root).replace(os.sep, "/"))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    return Scratch(texts.sparkSession, "export").save(texts.select("source", "text").mapInArrow(run, "name string"), "names")
+
+
 def rebuild(store: st.Store, roots: list[str], checkpoint: str, vector=None, reader=None, c: EngineConfig = EngineConfig(), dry_run: bool = False, wait: float = 5.0) -> DataFrame:
     """Indexes the files of several roots that the checkpoint at ``checkpoint`` hasn't as done or empty; failed ones are tried again.
 

@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions.vectors import Embedder
 from ..session import Scratch
 from . import ranking as rk
+from .index import StoreIndex
 
 
 def search_mode(mode: str | None) -> str:
@@ -27,6 +28,13 @@ class Found:
 
     rows: DataFrame
     trace: dict = field(default_factory=dict)
+    scratch: Scratch | None = None
+    snippet: bool = True
+
+    def close(self) -> None:
+        """Deletes what the search has stored; the rows can't be read any more."""
+        if self.scratch is not None:
+            self.scratch.drop()
 
     def collect(self) -> list[dict]:
         out = [r.asDict() for r in self.rows.orderBy("rank").collect()]
@@ -36,13 +44,14 @@ class Found:
 
 def search(
     corpus: DataFrame, query: str, vector: list[float] | np.ndarray | None = None, limit: int = 20, mode: str = "vector", source_filter: str = "", category_filter: str = "",
-    use_reranker: bool = True, scorer: rk.Scorer | None = None, embedder: Embedder | None = None, prefilter: bool = False, metric: str = "cosine", c: EngineConfig = EngineConfig(),
+    use_reranker: bool = True, scorer: rk.Scorer | None = None, embedder: Embedder | None = None, prefilter: bool = False, metric: str = "cosine", c: EngineConfig = EngineConfig(), index: StoreIndex | None = None,
 ) -> Found:
     """Text, source, chunk_index, category, relevance_score and distance of the best rows.
 
     text: BM25 within the filters. vector: the nearest rows, filtered afterwards unless ``prefilter``, so that fewer may be left. hybrid:
     both lists within the filters, fused by reciprocal ranks, or put in order by the reranker, whose failure falls back to fusion.
-    Missing texts and sources are given as empty, missing indexes as 0. Text results carry their bm25 only.
+    Missing texts and sources are given as empty, missing indexes as 0. Text results carry their bm25 only. With an index of the
+    corpus's store both lists come from it, and only rows that are found are read.
     """
     mode, limit = search_mode(mode), max(1, limit)
     trace = {"mode": mode, "limit": limit, "reranker": "none", "warning": "", "result_count": None}
@@ -53,18 +62,38 @@ def search(
         vector = embedder.encode([query])[0]
     vector = None if vector is None else [float(x) for x in vector]
     none = F.lit(None).cast("double")
+
+    def near_rows(prefilter: bool) -> DataFrame:
+        if index is None or metric != "cosine":
+            return rk.top_vectors(corpus, vector, limit, metric, where, prefilter)
+        allowed = corpus.filter(where).select("id") if where is not None and prefilter else None
+        rows = index.fetch(scratch().save(index.vector_hits(vector, limit, allowed), "near-ids"))
+        return rows.filter(where) if where is not None and not prefilter else rows
+
+    def text_rows() -> DataFrame:
+        if index is None:
+            return rk.top_bm25(corpus, query, limit, c, where)
+        allowed = None if where is None else corpus.filter(where).select("id")
+        return index.fetch(scratch().save(index.text_hits(query, limit, allowed), "hit-ids"))
+
+    made: list[Scratch] = []
+
+    def scratch() -> Scratch:
+        if not made:
+            made.append(Scratch(corpus.sparkSession, "search"))
+        return made[0]
+
     kept = ["id", "text", "source", "chunk_index", "category"]
     if mode == "vector":
-        rows = rk.top_vectors(corpus, vector, limit, metric, where, prefilter).withColumns({"relevance_score": none, "bm25": none})
+        rows = near_rows(prefilter).withColumns({"relevance_score": none, "bm25": none})
         order = ["distance", "id"]
     elif mode == "text":
-        rows = rk.top_bm25(corpus, query, limit, c, where).withColumns({"relevance_score": none, "distance": none})
+        rows = text_rows().withColumns({"relevance_score": none, "distance": none})
         order = [F.desc("bm25"), "id"]
     else:
         # two lists of at most ``limit`` rows are stored, so that the table is read for each once, whatever is done with them
-        scratch = Scratch(corpus.sparkSession, "search")
-        near = scratch.save(rk.top_vectors(corpus, vector, limit, metric, where, prefilter=True).select(*kept, "distance"), "near")
-        hits = scratch.save(rk.top_bm25(corpus, query, limit, c, where).select(*kept, "bm25"), "hits")
+        near = scratch().save(near_rows(True).select(*kept, "distance"), "near")
+        hits = scratch().save(text_rows().select(*kept, "bm25"), "hits")
         lists = [rk.ranked(near, "distance", "id"), rk.ranked(hits, F.desc("bm25"), "id")]
         texts = near.select(kept).unionByName(hits.select(kept)).dropDuplicates(["id"])
         fused = rk.rrf(lists, c.rrf_k)
@@ -74,7 +103,7 @@ def search(
             try:
                 scored = rk.rerank(candidates, query, c, scorer).select("id", "score")
                 if scorer is not None:  # a plug-in fails when it runs, so it runs here, on its bounded list
-                    scored = scratch.save(scored, "scores")
+                    scored = scratch().save(scored, "scores")
                 trace["reranker"] = "lexical" if scorer is None else getattr(scorer, "__name__", "scorer")
                 fused = scored
             except Exception as e:  # noqa: BLE001
@@ -87,7 +116,7 @@ def search(
         "rank", "id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"),
         F.coalesce("category", F.lit("")).alias("category"), F.round("relevance_score", 4).alias("relevance_score"), F.round("distance", 4).alias("distance"), F.round("bm25", 4).alias("bm25"),
     )
-    return Found(out, trace)
+    return Found(out, trace, made[0] if made else None)
 
 
 def similar(corpus: DataFrame, text: str, embedder: Embedder, k: int = 5, exclude_source: str | None = None, c: EngineConfig = EngineConfig()) -> DataFrame:
@@ -114,7 +143,9 @@ def evidence_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]")).alias("cite"), "source", "chunk_index", "category", "text")
 
 
-def rendered(found: Found, query: str, snippet: bool = True) -> str:
+def rendered(found: Found, query: str, snippet: bool | None = None) -> str:
+    """A text of the results; texts are shown by their beginnings unless ``snippet`` is off."""
+    snippet = found.snippet if snippet is None else snippet
     body = found.rows.withColumns({"name": tx.basename(F.col("source")), "shown": tx.snippet(F.col("text")) if snippet else F.col("text")})
     rows = body.orderBy("rank").collect()
     found.trace["result_count"] = len(rows)

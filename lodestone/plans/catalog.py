@@ -518,9 +518,55 @@ def w11_postings(spark, d):
     return index.search(QUERY, 20).select("id", F.round("bm25", 6).alias("bm25"))
 
 
+def _store_index(spark, d) -> ix.StoreIndex:
+    store = st.Store(spark, Scratch(spark, "store").root, buckets=8)
+    rows = table(spark, d, "my_docs").select("text", "vector", "source", "chunk_index", "category", "doc_id", "ingested_at", F.col("row_id").alias("seq"))
+    store.append(rows)
+    index = ix.StoreIndex(store, DIMS)
+    index.refresh()
+    return index
+
+
+@query(f"WITH {_bm25_sql()} SELECT row_number() OVER (ORDER BY bm25 DESC) AS rank, round(bm25, 6) AS bm25 FROM hits")
+def r2_from_index(spark, d):
+    """The scores of the 20 best rows from the index of a store."""
+    hits = _store_index(spark, d).text_hits(QUERY, 20)
+    return hits.select(F.row_number().over(Window.orderBy(F.desc("bm25"))).cast("long").alias("rank"), F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"WITH {_bm25_sql().replace('FROM my_docs)', "FROM my_docs WHERE source IS NULL OR NOT contains(lower(source), 'a'))")} SELECT row_number() OVER (ORDER BY bm25 DESC) AS rank, round(bm25, 6) AS bm25 FROM hits")
+def r2_from_index_after_delete(spark, d):
+    """The same after rows were deleted: what was indexed before stays, the new version's folders are added."""
+    index = _store_index(spark, d)
+    index.store.replace(st.source_match("a"))
+    index.refresh()
+    hits = index.text_hits(QUERY, 20)
+    return hits.select(F.row_number().over(Window.orderBy(F.desc("bm25"))).cast("long").alias("rank"), F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"WITH {_NEAR} SELECT row_number() OVER (ORDER BY distance) AS rank, round(1 - distance, 6) AS similarity FROM near")
+def r1_from_index(spark, d):
+    """The similarities of the 20 nearest rows from the index of a store, all its cells read."""
+    near = _store_index(spark, d).vector_hits(_first_vector(corpus(spark, d), "row_id"), 20, probes=1 << 20)
+    return near.select(F.row_number().over(Window.orderBy("distance")).cast("long").alias("rank"), F.round(1 - F.col("distance"), 6).alias("similarity"))
+
+
+@query("SELECT true AS recalled, count(*) AS queries FROM my_docs WHERE row_id % 100 = 0 AND " + _OK)
+def w10_recall(spark, d):
+    """Whether the cell index finds nine in ten of the 20 nearest rows, at its own number of cells read, of all rows whose id is divisible by 100."""
+    c = corpus(spark, d).filter(vx.usable(F.col("vector"), DIMS))
+    asked = c.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    index = ix.CellIndex(spark, Scratch(spark, "cells").root, DIMS)
+    index.build(c.select("id", "vector"))
+    found = index.search_many(asked, 20).select("query_id", "id")
+    want = rk.batch_top(c, asked, 20).select("query_id", "id")
+    hit = want.join(found.withColumn("hit", F.lit(1)), ["query_id", "id"], "left").agg((F.count("hit") >= 0.9 * F.count("*")).alias("recalled"))
+    return hit.crossJoin(asked.agg(F.count("*").alias("queries")))  # a row each
+
+
 @query()
 def w10_cells(spark, d):
-    """The 20 nearest rows from a stored cell index, 16 cells probed."""
+    """The 20 nearest rows from a stored cell index."""
     c = corpus(spark, d)
     index = ix.CellIndex(spark, Scratch(spark, "cells").root, DIMS)
     index.build(c.select("id", "vector"))

@@ -230,6 +230,38 @@ def test_indexes_equal_scans(spark, tmp_path):
         assert got == [r.id for r in rk.top_vectors(c, [1.0] * 16, 10).orderBy("distance", "id").collect()]
 
 
+def test_store_index_follows_the_store(spark, tmp_path):
+    c = corpus(spark)
+    s = st.Store(spark, f"file://{tmp_path}/s", buckets=3)
+    for part in ("id < 100", "id >= 100"):
+        s.append(c.filter(part).select("text", "vector", "source", F.col("id").alias("chunk_index"), "category", F.lit("d").alias("doc_id"), F.lit("").alias("ingested_at")))
+    index = ix.StoreIndex(s, 16, EngineConfig(ivf_min_rows=10))
+    assert index.refresh() == 2 and index.refresh() == 0
+
+    def same():
+        now = s.read().withColumn("id", ix.row_id())
+        for where in (None, F.col("category") == "note"):
+            allowed = None if where is None else now.filter(where).select("id")
+            want = rk.top_bm25(now, "stage word3", 15, where=where)
+            got = index.fetch(index.text_hits("stage word3", 15, allowed))
+            assert {(r.id, r.text, round(r.bm25, 9)) for r in got.collect()} == {(r.id, r.text, round(r.bm25, 9)) for r in want.collect()}
+            near = rk.top_vectors(now, [1.0] * 16, 12, where=where, prefilter=True)
+            got = index.fetch(index.vector_hits([1.0] * 16, 12, allowed, probes=999))
+            assert {(r.id, round(r.distance, 9)) for r in got.collect()} == {(r.id, round(r.distance, 9)) for r in near.collect()}
+
+    same()
+    s.replace(F.col("chunk_index") % 3 == 0)
+    assert index.refresh() > 0
+    same()
+    s.compact()
+    index.refresh()
+    s.vacuum(1)
+    assert index.vacuum() > 0
+    same()
+    s.replace(F.lit(True))
+    assert index.text_hits("stage", 3).count() == 0 and index.fetch(index.vector_hits([1.0] * 16, 3)).count() == 0
+
+
 def events(spark, rows):
     base = dt.datetime(2031, 1, 1)
     data = [(i, base + dt.timedelta(seconds=s) if s is not None else None, p, k, q) for i, (s, p, k, q) in enumerate(rows)]
@@ -304,6 +336,8 @@ def test_images(spark, tmp_path, folder):
 
     os.utime(folder / "docs/picture.png", (1, 1))
     assert k.ingest_images(str(folder)) == 1 and k.images.read().count() == 1
+    other = KnowledgeBase(spark, k.path, CONFIG, vx.HashingEmbedder(8), image_embedder=k.image_embedder, image_text_embedder=e)
+    assert other.search_images("docs picture png").first().similarity > 0.5  # the images' model, not that of texts
     got = k.search_images("docs picture png", source_filter="doc%")
     assert got.first().similarity > 0.5 and k.search_images("x", source_filter="none").count() == 0
 
