@@ -29,7 +29,7 @@ CONFUSED = [
     ("g", "q"), ("g", "9"), ("h", "b"), ("b", "h"), ("b", "8"), ("é", "6"), ("a", "á"), ("ß", "b"), ("z", "2"), ("о", "0"), ("в", "8"), ("з", "3"), ("б", "6"), ("c", "e"), ("f", "t"), ("q", "g"), ("é", "c"), ("m", "nn"), ("ü", "ii"), ("ó", "6"), ("ö", "6"), ("ô", "6"), ("ú", "ii"),
 ]
 MARKS = "-¬­‐"
-FREQUENT, RATIO, MOST = 10, 30, 3
+RATIO, MOST = 30, 3
 #: Page numbers that can be nothing else, wherever they stand: pages aren't always set apart.
 DRESSED = r"(?iu)^(?:\[\s*\d{1,4}\s*\]|[-–—]\s*\d{1,4}\s*[-–—]|(?:page|seite|página|стр\.)\s*\d{1,4}(?:\s*/\s*\d{1,4})?|\d{1,4}\s*/\s*\d{1,4}|第\s*\d{1,4}\s*页.*)$"
 
@@ -248,7 +248,7 @@ def _right_forms(words: DataFrame, counts: DataFrame, scratch: Scratch) -> DataF
     seen = _skeleton_table(own)
     others = scratch.save(_skeleton_table(counts.filter("n > 1").filter(r"not word rlike '[0-9]'")).select(F.col("word").alias("reading"), F.col("n").alias("m"), F.col("o").alias("mo"), "skeleton"), "others")
     # what one or two letters could be is too much: they always go by what stands beside
-    sure = F.expr(f"(length(word) > 2 and ((m >= {FREQUENT} and m >= {RATIO} * n) or o = 0)) or word rlike '[0-9]'")
+    sure = F.expr(f"(length(word) > 2 and (m >= {RATIO} * n or o = 0)) or word rlike '[0-9]'")
     pairs = seen.join(others, "skeleton").filter("word <> reading and m > n").filter(sure | F.expr("length(word) <= 2 or 2 * o * m <= n * mo")).select("word", "reading", "m", sure.alias("sure")).distinct()
 
     def run(batches):

@@ -6,8 +6,10 @@ and are widened (virtual rehashing) up to the radius of the least similarity ask
 projection, so that a block of queries only sees a slice of them. Candidates are verified exactly.
 
 Departure. Over a whole table, single-projection windows hold a fixed share of all rows and would pair all with all. So vectors are
-first dealt to cells around pivots (a bounded sample of the rows); a query visits the cells of its nearest pivots, and windows
-are opened inside a cell only. Cells stay at a constant size, as there are more pivots when there are more rows.
+first dealt to cells around pivots (a sample of the rows); a query visits the cells of its nearest pivots, and windows are opened
+inside a cell only. There is a pivot for each ``cell`` rows, up to ``pivots`` of them (131 million rows at 500 a cell; a larger
+table's cells grow, and are worked off in blocks). A row finds its nearest pivots by way of the centres of groups of pivots, which
+are as many as the root of their number, so that its work grows with that root only.
 
 Without a least similarity windows cut nothing off, as the fifth neighbour is often hardly nearer than the rest: a query is held
 against all members of the cells that it visits, and they against it, and more cells are visited when there are more. It always
@@ -49,7 +51,7 @@ class Search:
     visit: int = 8
     projections: int = 16
     need: int = 12
-    pivots: int = 16_384
+    pivots: int = 262_144
     block: int = 256
 
     def visits(self, cells: int) -> int:
@@ -104,18 +106,56 @@ def prepare(df: DataFrame, id_col: str, vector_col: str, tab: str, p: Search) ->
     return src.mapInArrow(run, "id long, digest long, code binary, scale float").select(F.lit(tab).alias("tab"), "*")
 
 
-def _pivots(front: DataFrame, p: Search) -> dict[str, np.ndarray]:
+def _pivots(front: DataFrame, p: Search) -> dict[str, PivotGroups]:
     """A sample of each table, at most p.pivots vectors, so that a cell has about p.cell rows."""
     out = {}
     for tab, n in sorted((r.tab, r.n) for r in front.groupBy("tab").agg(F.count("*").alias("n")).collect()):
         many = max(1, min(p.pivots, n // p.cell))
         rows = bounded_sample(front.filter(F.col("tab") == tab), "id", many, n).select("code").collect()
         x = np.unique(np.frombuffer(b"".join(r.code for r in rows), np.int8).reshape(-1, p.dims), axis=0).astype(np.float32)
-        out[tab] = x / np.linalg.norm(x, axis=1, keepdims=True)
+        out[tab] = PivotGroups(x / np.linalg.norm(x, axis=1, keepdims=True))
     return out
 
 
-def _deal(front: DataFrame, pivots: dict[str, np.ndarray], p: Search) -> DataFrame:
+class PivotGroups:
+    """Pivots in groups around some of them."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots, self.count = pivots, len(pivots)
+        many = math.ceil(self.count**0.5)
+        self.centres = pivots[:: max(1, self.count // many)][:many]
+        near = np.concatenate([(pivots[at : at + 4096] @ self.centres.T).argmax(1) for at in range(0, self.count, 4096)] or [np.zeros(0, int)])
+        self.members = [np.flatnonzero(near == g) for g in range(len(self.centres))]
+        self.groups = [pivots[m] for m in self.members]
+        #: groups that a row looks into: all of a few, then twice the root of their number
+        self.looks = min(len(self.centres), max(16, math.ceil(2 * len(self.centres) ** 0.5)))
+
+    def nearest(self, x: np.ndarray, visit: int) -> np.ndarray:
+        """For each row the numbers of its ``visit`` nearest pivots, the nearest first, of those in the groups it looks into."""
+        order = np.argsort(-(x @ self.centres.T), axis=1, kind="stable")[:, : self.looks]
+        rows, pivots, sims = [], [], []
+        for g in np.unique(order):
+            mine = np.flatnonzero((order == g).any(1))
+            s = x[mine] @ self.groups[g].T
+            k = min(visit, s.shape[1])
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(k), (len(mine), 1))
+            rows.append(np.repeat(mine, k))
+            pivots.append(self.members[g][best].ravel())
+            sims.append(np.take_along_axis(s, best, 1).ravel())
+        row, pivot, sim = (np.concatenate(z) for z in (rows, pivots, sims))
+        place = np.lexsort((pivot, -sim, row))
+        row, pivot = row[place], pivot[place]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        top = rank < visit
+        out = np.zeros((len(x), visit), np.int64)
+        out[row[top], rank[top]] = pivot[top]
+        few = np.flatnonzero(np.bincount(row, minlength=len(x)) < visit)  # its groups hold too few: all are looked at
+        if len(few):
+            out[few] = np.argsort(-(x[few] @ self.pivots.T), axis=1, kind="stable")[:, :visit]
+        return out
+
+
+def _deal(front: DataFrame, pivots: dict[str, PivotGroups], p: Search) -> DataFrame:
     """(tab, cell, id, code, scale, member): each row to the cells that it visits, of which it is a member of the nearest."""
     shared = front.sparkSession.sparkContext.broadcast(pivots)
 
@@ -126,12 +166,10 @@ def _deal(front: DataFrame, pivots: dict[str, np.ndarray], p: Search) -> DataFra
             for tab in sorted(set(tabs)):
                 rows = np.flatnonzero(tabs == tab)
                 pv = shared.value[tab]
-                visit = p.visits(len(pv))
+                visit = p.visits(pv.count)
                 for at in range(0, len(rows), 2048):
                     part = rows[at : at + 2048]
-                    sims = code[part].astype(np.float32) @ pv.T
-                    near = np.argpartition(-sims, visit - 1, axis=1)[:, :visit]
-                    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
+                    near = pv.nearest(code[part].astype(np.float32), visit)
                     take = pa.array(np.repeat(part, visit))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([tab] * len(take)), pa.array(near.ravel().astype(np.int32)), *(b.column(c).take(take) for c in ("id", "code", "scale")), pa.array(np.tile(np.arange(visit) < p.own, len(part)))],

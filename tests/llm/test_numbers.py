@@ -39,6 +39,19 @@ def test_neighbours(spark):
     assert ve.neighbours([("t", df.limit(0), "row_id", "vector")]).count() == 0
 
 
+def test_nearest_pivots_by_groups():
+    rng = np.random.default_rng(7)
+    unit = lambda n: (lambda z: z / np.linalg.norm(z, axis=1, keepdims=True))(rng.normal(size=(n, 16)).astype(np.float32))
+    for n, visit in ((1, 1), (5, 5), (300, 8), (5000, 12)):
+        groups, x = ve.PivotGroups(unit(n)), unit(400)
+        got = groups.nearest(x, visit)
+        want = np.argsort(-(x @ groups.pivots.T), axis=1)[:, :visit]
+        assert all(len(set(r)) == visit for r in got) and (got[:, 0] == want[:, 0]).mean() > (0.9 if n > 1000 else 0.99)
+        assert np.mean([len(set(a) & set(b)) / visit for a, b in zip(got, want)]) > (0.85 if n > 1000 else 0.99)
+    same = ve.PivotGroups(np.repeat(unit(1), 40, 0))  # all in one group
+    assert sorted(same.nearest(unit(3), 40)[0]) == list(range(40))
+
+
 def test_split_cells(spark):
     rng = np.random.default_rng(5)
     x = (rng.normal(size=64) + rng.normal(size=(400, 64)) * 0.15).astype(np.float32)
