@@ -63,9 +63,11 @@ def t1_paragraphs(spark, d):
     return p.select("row_id", F.size("p").cast("long").alias("paragraphs"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
-# The chunkers as recursions: a piece ends at the last sentence end within 800 characters, a chunk before the paragraph that fills it.
+#: white space as Python and Java with Unicode classes see it
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+# The chunkers as recursions: a piece ends at the last sentence end within 800 characters, a chunk before the paragraph that fills it.
+
 
 def _stripped(x: str) -> str:
     return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
@@ -165,7 +167,16 @@ def t9_ligatures(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(plain.cast("binary")).alias("plain"), F.length(plain).cast("long").alias("chars"))
 
 
-@query()
+# spans of dollar signs lie between the parts that the same expression splits at; of a span the blanks go that stand between single letters
+_SPAN = r"(?s)\$\$.+?\$\$|\$.+?\$"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text, {_LIGATURES} AS plain FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT doc_id, text, string_split_regex(plain, '{_SPAN}') AS parts, regexp_extract_all(plain, '{_SPAN}') AS spans FROM d),
+  f AS (SELECT doc_id, text, parts, list_transform(spans, lambda x: array_to_string(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN regexp_matches(x[i], '^{_WS}$') AND i > 1
+    AND regexp_matches(x[i - 1], '^[A-Za-z]$') AND NOT (i > 2 AND regexp_matches(x[i - 2], '^[A-Za-z\\]$')) AND regexp_matches(x[i + 1], '^[A-Za-z]$') AND NOT regexp_matches(x[i + 2], '^[A-Za-z]$') THEN '' ELSE x[i] END), '')) AS spans FROM s),
+  j AS (SELECT doc_id, text, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(spans[i], '')), '') AS fixed FROM f)
+  SELECT doc_id, fixed FROM j WHERE fixed <> text""")
 def t10_math(spark, d):
     """Texts of documents whose formulas had letters set apart."""
     docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text", tx.normalize(F.col("text")).alias("fixed"))
