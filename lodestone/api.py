@@ -14,6 +14,7 @@ from .config import EngineConfig
 from .functions import chunking
 from .functions import text as tx
 from .functions import vectors as vx
+from .lifecycle import IdleUnloader
 from .operators import images as im
 from .operators import index as ix
 from .operators import manage as mg
@@ -30,11 +31,16 @@ IMAGES = "image_path string, file_name string, source_doc string, caption string
 class KnowledgeBase:
     """A chunk store, an image store and what can be done with them."""
 
-    def __init__(self, spark: SparkSession, path: str, config: EngineConfig = EngineConfig(), embedder: vx.Embedder | None = None, scorer=None, pdf=(), image_embedder=None, image_text_embedder: vx.Embedder | None = None, progress=None):
+    def __init__(self, spark: SparkSession, path: str, config: EngineConfig = EngineConfig(), embedder: vx.Embedder | None = None, scorer=None, pdf=(), image_embedder=None, image_text_embedder: vx.Embedder | None = None, progress=None, fallback_embedder: vx.Embedder | None = None):
         self.spark, self.path, self.config = spark, path.rstrip("/"), config
         self.embedder = embedder or vx.HashingEmbedder(config.dims)
         #: image_embedder makes a column of vectors from one of paths; image_text_embedder is the same model's side for query texts
         self.scorer, self.pdf, self.image_embedder, self.image_text_embedder = scorer, list(pdf), image_embedder, image_text_embedder or self.embedder
+        self.fallback_embedder = fallback_embedder
+        self.models = IdleUnloader(config.idle_seconds)
+        for name, model in (("embedder", self.embedder), ("reranker", scorer), ("images", image_embedder)):
+            if hasattr(model, "unload"):
+                self.models.register(name, model.unload)
         self.progress = progress or (lambda done, total: None)
         self.store = st.Store(spark, f"{self.path}/chunks", buckets=config.store_buckets)
         self.images = st.Store(spark, f"{self.path}/images", IMAGES, "image_path", config.store_buckets)
@@ -50,6 +56,7 @@ class KnowledgeBase:
 
     def _search(self, query: str, limit: int, use_reranker: bool, source_filter: str, search_mode: str, category_filter: str) -> se.Found:
         corpus = self.corpus()
+        self.models.touch()
         self.index.refresh()  # nothing to do unless another process has written
         return se.search(corpus, query, limit=limit, mode=search_mode, source_filter=source_filter, category_filter=category_filter, use_reranker=use_reranker, scorer=self.scorer, embedder=self.embedder, c=self.config, index=self.index)
 
@@ -97,7 +104,7 @@ class KnowledgeBase:
 
     def _rows(self, texts: DataFrame) -> DataFrame:
         chunks = chunking.chunk_documents(texts, markdown_col="markdown", c=self.config).withColumn("seq", F.col("chunk_index"))
-        return st.chunk_rows(chunks, vector=vx.embed(F.col("text"), self.embedder))
+        return st.chunk_rows(chunks, vector=vx.embed(F.col("text"), self.embedder, self.fallback_embedder))
 
     def _added(self, rows: DataFrame) -> int:
         saved = Scratch(self.spark, "add").save(rows, "rows")

@@ -37,6 +37,8 @@ class EngineConfig:
     snippet_chars: int = 500
     similar_prefix: int = 512
     store_buckets: int = 32
+    #: seconds without a use after which models are unloaded; 0 for never
+    idle_seconds: float = 300.0
 
     @classmethod
     def from_env(cls, **given) -> EngineConfig:

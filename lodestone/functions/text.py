@@ -153,6 +153,11 @@ def cache_key(path: Column, size: Column, mtime_ns: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", path, size.cast("string"), mtime_ns.cast("string")).cast("binary")), 1, 16)
 
 
+def content_hash(content: Column) -> Column:
+    """SHA-256 of a file's bytes or a text's."""
+    return F.sha2(content.cast("binary"), 256)
+
+
 def host_source(url: Column, prefix: str = "page-") -> Column:
     """Source name of a page: prefix and host, without characters that file names can't have, cut at 80; null for other schemes."""
     host = F.split_part(F.split_part(url, F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1))

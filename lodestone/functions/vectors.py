@@ -66,12 +66,24 @@ class HashingEmbedder:
         return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def embed(text: Column, embedder: Embedder) -> Column:
-    """Vectors of a text column, by Arrow batches; the embedder goes to each worker once."""
+def embed(text: Column, embedder: Embedder, fallback: Embedder | None = None) -> Column:
+    """Vectors of a text column, by Arrow batches; the embedder goes to each worker once.
+
+    Once the embedder fails, the task goes on with the fallback, if there is one of the same length.
+    """
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        use = embedder
         for s in batches:
-            yield pd.Series(list(embedder.encode(s.fillna("").tolist())))
+            texts = s.fillna("").tolist()
+            try:
+                out = use.encode(texts)
+            except Exception:
+                if fallback is None or use is fallback:
+                    raise
+                use = fallback
+                out = use.encode(texts)
+            yield pd.Series(list(out))
 
     return run(text)

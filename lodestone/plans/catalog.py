@@ -250,6 +250,11 @@ def s18_page_ranges(spark, d):
     return page_ranges(table(spark, d, "rebuild_checkpoint").select(F.col("file_path").alias("id"), F.col("chunks").alias("pages")))
 
 
+@query("SELECT row_id, sha256(text) AS digest FROM my_docs WHERE text IS NOT NULL")
+def t18_content_hash(spark, d):
+    return table(spark, d, "my_docs").filter("text is not null").select("row_id", tx.content_hash(F.col("text")).alias("digest"))
+
+
 @query(r"""SELECT row_id, left(regexp_replace('page-' || split_part(split_part(u, '//', 2), '/', 1), '[\\/:*?"<>|]', '_', 'g'), 80) AS source_name FROM (SELECT row_id, regexp_extract(text, 'https?://[^\s]+') AS u FROM my_docs WHERE text IS NOT NULL) WHERE u <> ''""")
 def f13_host_source(spark, d):
     u = table(spark, d, "my_docs").select("row_id", F.regexp_extract("text", r"https?://[^\s]+", 0).alias("u")).filter("u <> ''")

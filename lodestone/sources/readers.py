@@ -91,6 +91,15 @@ def first_text(data: bytes, stages: list[Plugin]) -> str:
     return text
 
 
+def read_pages(count: int, read: Callable[[int], str], most: int = 50) -> str:
+    """Texts of a document's pages, blank ones left out, and a note if only the first ``most`` were read; 0 reads all."""
+    limit = min(count, most) if most > 0 else count
+    parts = [t for t in map(read, range(limit)) if t.strip()]
+    if limit < count:
+        parts.append(f"\n\n[only the first {limit} of {count} pages were read]\n")
+    return "\n\n".join(parts)
+
+
 def extract(path: str, data: bytes, pdf: list[Plugin] = (), recognise: Plugin | None = None, needs: Callable[[str], bool] | None = None) -> tuple[str, bool]:
     """(text, is Markdown) of a file by its extension; unknown kinds and errors give ("", False).
 

@@ -1,6 +1,7 @@
 """Store, sources, search, streaming and the facade, end to end on small inputs."""
 
 import datetime as dt
+import hashlib
 import io
 import json
 import threading
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from lodestone.api import KnowledgeBase, serve
 from lodestone.config import EngineConfig
 from lodestone.functions import vectors as vx
+from lodestone.lifecycle import IdleUnloader
 from lodestone.operators import index as ix
+from lodestone.operators import pipeline as pl
 from lodestone.operators import ranking as rk
 from lodestone.operators import search as se
 from lodestone.operators import store as st
@@ -392,3 +395,79 @@ def test_report(spark):
 
     text = mg.report(corpus(spark, 20).withColumn("ingested_at", F.lit("2031-01-01T00:00:00Z")).withColumn("doc_id", F.lit("")))
     assert "Rows: 21" in text and "- note: 10" in text and "- s0 (3)" in text
+
+
+def test_pipeline(spark, tmp_path):
+    def pdf_reader(name, data):
+        if b"broken" in data:
+            raise ValueError("broken")
+        return data.decode(), True
+
+    root = tmp_path / "pdfs"
+    (root / "deep").mkdir(parents=True)
+    (root / "a.pdf").write_text("# Dams\n\nThe dam holds the water of the river.")
+    (root / "deep/b.PDF").write_text("# Locks\n\nA lock lifts ships to the next reach.")
+    (root / "bad.pdf").write_text("broken")
+    store = st.Store(spark, f"file://{tmp_path}/db", buckets=2)
+    assert pl.run(store, str(root), None)[1] == pl.NOTHING and pl.run(store, str(tmp_path / "db"), pdf_reader)[1] == pl.NOTHING
+    summary, code = pl.run(store, str(root), pdf_reader, dry_run=True)
+    assert code == pl.OK and summary["convert"]["first"] == ["a.pdf", "bad.pdf", "deep/b.PDF"] and not store.exists()
+    summary, code = pl.run(store, str(root), pdf_reader, wait=0.0)
+    assert code == pl.FAILED and summary["convert"]["done"] == 2 and summary["convert"]["errors"][0][0] == "bad.pdf"
+    assert summary["ingest"] == {"done": 2} and {r.source for r in store.read().collect()} == {"a.md", "deep/b.md"}
+    (root / "bad.pdf").write_text("# Weirs\n\nA weir keeps the level of the water.")
+    summary, code = pl.run(store, str(root), pdf_reader, resume=True, wait=0.0)
+    assert code == pl.OK and summary["convert"]["skipped"] == 2 and summary["ingest"] == {"done": 1} and store.read().count() == 3
+
+
+def test_split_manifest(tmp_path):
+    at = tmp_path / "big.pdf"
+    at.write_bytes(b"x" * 3_000_000)
+    m = pl.split_manifest(str(at), 450, lambda a, b: (b - a + 1) * 10, most_bytes=1500)
+    assert [(s["page_start"], s["page_end"]) for s in m["segments"]] == [(1, 100), (101, 200), (201, 300), (301, 400), (401, 450)]
+    assert m["segments"][1]["name"] == "big.part-0002.pages-0101-0200.pdf" and m["source_sha256"] == hashlib.sha256(b"x" * 3_000_000).hexdigest()
+    for bad in ({"most_pages": 0}, {"most_bytes": 5}):
+        with pytest.raises(ValueError):
+            pl.split_manifest(str(at), 2, lambda a, b: 10, **bad)
+
+
+def test_idle_unloading():
+    def fails():
+        raise RuntimeError
+
+    for last, now, timeout, want in ((1000, 1301, 300, True), (1000, 1200, 300, False), (None, 1e9, 300, False), (0, 1e9, 0, False)):
+        u = IdleUnloader(timeout)
+        u.last = last
+        u.register("bad", fails)
+        u.register("good", lambda: True)
+        u.register("empty", lambda: False)
+        assert u.check(now) == (["good"] if want else []) and u.check(now + 1) == []
+
+
+def test_embedding_falls_back(spark):
+    class Fails(vx.HashingEmbedder):
+        def encode(self, texts):
+            raise RuntimeError
+
+    df = spark.createDataFrame([("a b",), (None,)], "t string")
+    got = df.select(vx.embed(F.col("t"), Fails(8), vx.HashingEmbedder(8)).alias("v")).collect()
+    assert np.allclose([r.v for r in got], vx.HashingEmbedder(8).encode(["a b", ""]))
+
+
+def test_pages_are_capped():
+    assert rd.read_pages(3, lambda i: ["one", " ", "three"][i]) == "one\n\nthree"
+    assert "first 2 of 3" in rd.read_pages(3, lambda i: "x", 2) and rd.read_pages(3, lambda i: "x", 0) == "x\n\nx\n\nx"
+
+
+def test_command_line(spark, tmp_path, folder, capsys, monkeypatch):
+    from lodestone import __main__ as cli
+
+    monkeypatch.setenv("LODESTONE_DIMS", "64")
+    db, out = f"file://{tmp_path}/db", tmp_path / "md"
+    assert cli.main([db, "add", str(folder), "--markdown-dir", str(out)]) == 0
+    assert (out / "docs/flood.md").read_text().startswith("Flood routing")
+    assert cli.main([db, "search", "walls", "--mode", "text", "--full"]) == 0 and "papers/ifc.md" in capsys.readouterr().out
+    for command in (["status"], ["list"], ["report"], ["dedupe"], ["delete", "flood"], ["update", str(folder / "papers/ifc.md")], ["rebuild", str(folder), "--dry-run"]):
+        assert cli.main([db, *command]) == 0
+    assert cli.main([db, "pipeline", str(folder)]) == pl.NOTHING
+    assert '"remaining": 4' in capsys.readouterr().out
