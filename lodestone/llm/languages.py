@@ -10,13 +10,14 @@ Scale. The model is a fixed number of weights, sent to every task; each text is
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import bounded_sample
@@ -114,6 +115,18 @@ class Model:
     across: np.ndarray  # L x L, transitions to the next sentence
     lexicon: dict[str, tuple[int, int]]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the model to a folder, so that later runs need no fitting: four rows of bytes."""
+        parts = [(k, np.asarray(getattr(self, k), np.float64).tobytes()) for k in ("weights", "inside", "across")]
+        rows = [*parts, ("lexicon", json.dumps(self.lexicon).encode())]
+        spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "part string, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        found = {r.part: bytes(r.data) for r in spark.read.parquet(path).collect()}  # four rows
+        weights, inside, across = (np.frombuffer(found[k]).reshape(-1, L) for k in ("weights", "inside", "across"))
+        return cls(weights.astype(np.float32), inside, across, {w: tuple(x) for w, x in json.loads(found["lexicon"]).items()})
+
 
 def _pad(seqs: list[tuple[np.ndarray, np.ndarray]]):
     longest = max(len(s) for s, _ in seqs)
@@ -308,7 +321,8 @@ def segments(df: DataFrame, id_col: str = "row_id", text_col: str = "text", lang
     """(id, declared, seg_no, n_segs, lang, confidence, words): each longest stretch of sentences in one language.
 
     Texts without words (and null ones) have no row. Repeated ids give their segments each; other columns are ignored. Without any
-    labelled row all languages are equally likely, and no sentence speaks for one. An empty table gives no rows.
+    labelled row all languages are equally likely. An empty table gives no rows. A model that was fitted before (``Model.load``) may
+    be given; else one is fitted on a sample of the rows.
     """
     model = model or fit(sample(df, id_col, text_col, lang_col, p), p)
     shared = df.sparkSession.sparkContext.broadcast(model)

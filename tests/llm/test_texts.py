@@ -9,6 +9,7 @@ from lodestone.llm import languages as lg
 from lodestone.llm import lookalikes as la
 from lodestone.llm import scans as sc
 from lodestone.llm import splitting as sp
+from lodestone.session import Scratch
 
 
 @pytest.mark.parametrize("limit,overlap", [(800, 100), (50, 0), (20, 19), (64, 10)])
@@ -133,6 +134,19 @@ def test_segments_of_mixed_texts(spark):
     truth = {i: next(k for k, v in SENTENCES.items() if t.startswith(tuple(v))) for i, t, _ in rows}
     assert sum(by[i] == [truth[i]] for i in truth) >= 0.98 * len(truth)  # many sentences were never labelled right in the sample's order
     assert lg.segments(df.limit(0)).count() == 0
+    model = lg.fit(lg.sample(df, "row_id", "text", "lang", lg.Fit(rows=400)), lg.Fit(rows=400))
+    at = Scratch(spark, "model").path("model")
+    model.save(spark, at)
+    assert sorted(lg.segments(df, model=lg.Model.load(spark, at)).collect()) == sorted(got)
+
+
+def test_data_are_no_words():
+    words = lg.Words({})
+    text = "The gauge fell. #7=IFCPOINT((30.7,7.4));#14=IFC((1)) b65c67ef 47.68 (see 3). xxiv\n表115列出KT-6496数据。 https://a.b/c Der Pegel"
+    ids, sentence = lg.sequence(text, words)
+    names = {i: w for w, i in words.items()}
+    assert [names.get(i, "Han") for i in ids] == ["The", "gauge", "fell", "see", "Han", "Han", "Han", "Der", "Pegel"]
+    assert [int(x) for x in sentence - sentence[0]] == [0, 0, 0, 1, 3, 3, 3, 4, 4]
 
 
 def test_forward_backward_equals_enumeration():
