@@ -1,8 +1,10 @@
 """Near-duplicates and the history index against brute force."""
 
 import itertools
+import os
 import random
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import history as hi
 from lodestone.llm import near_duplicates as nd
 from lodestone.llm.shingles import tokens
-from lodestone.session import Scratch
+from lodestone.session import Scratch, shared_dir
 
 SCHEMA = "row_id long, text string, doc_id string, source string, likeness string"
 
@@ -56,6 +58,33 @@ def test_pairs_equal_brute_force(spark, width, threshold, hot):
         assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_pairs_in_rounds_equal_brute_force(spark):
+    texts = corpus(23)
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    pairs, members = nd.similar_pairs(df, params=nd.Likeness(width=4, threshold=0.6), at_once=10, texts_at_once=0.3, least_records=1)
+    assert len({Path(f).parent for f in pairs.inputFiles()}) > 1
+    got = [tuple(r) for r in nd.all_pairs(pairs, members).collect()]
+    want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if a and b and like(a, b, 4) >= 0.6}
+    assert len(want) > 40 and len(got) == len(want) and set(got) == want
+
+
+def test_pairs_leave_nothing_but_results_on_disk(spark):
+    """Of 1,500 records with 20 postings each, neither the shuffle files nor the tables of the steps stay."""
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(1000)]
+    texts += [" ".join(t.split()[1:]) for t in texts[:500]]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f: os.path.getsize(f) for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f and os.path.exists(f)}
+    tables = lambda: {str(f.parent) for f in Path(shared_dir(spark).removeprefix("file://")).glob("lodestone-*/*/_SUCCESS")}
+    before, had = shuffled(), tables()
+    pairs, members = nd.similar_pairs(df, params=nd.Likeness(width=4, threshold=0.6))
+    time.sleep(2)  # files are removed in the background
+    assert sum(n for f, n in shuffled().items() if f not in before) < 200_000
+    assert sorted(Path(t).name.split("-", 1)[1] for t in tables() - had) == ["members", "pairs"]
+    assert pairs.count() == 500
+
+
 def test_groups_are_connected_components(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9), (5, 6, 0.9), (3, 9, 0.9)], "rep_a long, rep_b long, likeness double")
     members = spark.createDataFrame([(i, i) for i in range(1, 11)] + [(20, 6)], "id long, rep long")
